@@ -19,13 +19,16 @@ DATE = "2024-01-01T00:00:00Z"
 FILE_RECORDS = 5000
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1 of a binary column: 5 hex digits give 4 letters."""
-    def letters(i: Column) -> Column:
-        part = F.conv(F.sha1(payload).substr(i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.lit(BASE32).substr((F.shiftright(part, s).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for s in (15, 10, 5, 0)])
+def with_digest(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the bare upper-case base32 SHA-1 of a text column: 5 hex digits give 4 letters.
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), "")
+    The hash is a column of its own first, so that it is computed once, not once for each group of digits.
+    """
+    letters = []
+    for i in range(8):
+        number = F.conv(F.substring("_hex", 5 * i + 1, 5), 16, 10).cast("int")
+        letters += [F.lit(BASE32).substr((F.shiftright(number, s).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for s in (15, 10, 5, 0)]
+    return df.withColumn("_hex", F.sha1(F.col(text).cast("binary"))).withColumn(out, F.concat(*letters)).drop("_hex")
 
 
 def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -54,10 +57,9 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> str:
     spark = pages.sparkSession
     body = F.coalesce("html", F.lit(""))
     raw = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ").alias("url"), body.alias("html"))
-    digested = raw.select("page_id", base32_sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
+    digested = with_digest(raw, "html", "digest").select("page_id", "digest", F.octet_length("html").cast("long").alias("bytes"))
     refers = resolve(digested, min_bytes).where("refers_to is not null").select(F.col("page_id").alias("_p"), F.col("refers_to").alias("_to"), F.col("digest").alias("_rd")).distinct()
-    digest = base32_sha1(F.col("html").cast("binary"))
-    rows = raw.withColumn("_d", digest).join(refers, (F.col("page_id") == F.col("_p")) & (F.col("_d") == F.col("_rd")), "left")
+    rows = with_digest(raw, "html", "_d").join(refers, (F.col("page_id") == F.col("_p")) & (F.col("_d") == F.col("_rd")), "left")
     revisit = F.col("_to").isNotNull()
     block = F.when(revisit, "").otherwise(F.col("html"))
     end = "\r\n"
