@@ -166,7 +166,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, carry: list[str] | None =
     facts = keep(facts.join(cuts, ["doc_id", "_t"], "left"), "substring_facts").where(F.col("_copy") | F.col("_c").isNotNull())
     facts = facts.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_ft"), "n_words", *_verdict(), F.lit(True).alias("_touched"))
     touched = source.withColumn("_t", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    out = touched.join(small(facts, BROADCAST_ROWS // 64), (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_ft")), "left")
+    out = touched.join(small(facts), (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_ft")), "left")
     return out.select(*carry, F.col("n_words"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "kept_sha256", "kept_text")
 
 
