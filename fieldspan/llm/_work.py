@@ -70,12 +70,12 @@ def drop_scope(spark: SparkSession, name: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-#: Bytes of text that a broadcast side may hold.
+#: Bytes of text and lists that a broadcast side may hold.
 BROADCAST_BYTES = 16 << 20
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows and 16 MB of text; else as it is, for a shuffled join.
+    """df with a broadcast hint if it has at most `limit` rows and 16 MB of text and lists; else as it is, for a shuffled join.
 
     df is to be cheap to count: a written table, as a rule.
     """
@@ -83,5 +83,7 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     for c, kind in df.dtypes:
         if kind in ("string", "binary"):
             size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array<bigint>":
+            size = size + 8 * F.greatest(F.size(c), F.lit(0))
     got = df.select(size.alias("b")).limit(limit + 1).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
     return F.broadcast(df) if got["n"] <= limit and (got["b"] or 0) <= BROADCAST_BYTES else df

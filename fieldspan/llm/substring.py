@@ -101,13 +101,43 @@ def _cut(window: int):
     return of
 
 
+def _runs(window: int):
+    """The runs of words that windows at the given starts cover: start and end by turns."""
+
+    def of(starts: pa.Array) -> pa.Array:
+        out = []
+        for at in starts:
+            p = np.unique(np.asarray(at.as_py() or [], np.int64))
+            new = np.flatnonzero(np.diff(p) > window) + 1
+            out.append(np.stack([p[np.r_[0, new]], p[np.r_[new - 1, len(p) - 1]] + window], 1).ravel() if len(p) else p)
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return of
+
+
+def _without(col: pa.Array, runs: pa.Array) -> pa.Array:
+    """Each text's words outside the given runs, joined by one space, and how many are inside."""
+    kept, gone = [], []
+    for text, at in zip(col, runs, strict=True):
+        words, left, end = text.as_py().encode().split(), [], 0
+        bounds = at.as_py() or []
+        for a, b in zip(bounds[::2], bounds[1::2], strict=True):
+            left += words[end:a]
+            end = b
+        left += words[end:]
+        kept.append(b" ".join(left).decode())
+        gone.append(len(words) - len(left))
+    return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(gone, pa.int64())], ["kept", "n_removed"])
+
+
 def substring_dedup(docs: DataFrame, window: int = 50, carry: list[str] | None = None) -> DataFrame:
     """Words of each document that earlier documents do not have in the same run of `window` words.
 
     docs has doc_id and text. A word goes if a window of so many consecutive words that covers it also
-    starts in a document with a smaller doc_id; windows are judged on the input. Returns the columns in
-    `carry` (doc_id alone by default) with n_words, n_removed, kept_sha256 and kept_text, one row for each
-    row of docs; kept_text is null where nothing was removed, else the kept words joined by one space.
+    starts in a document with a smaller doc_id; windows are judged on the input. Returns doc_id, n_words,
+    n_removed, kept_sha256 and kept_text, one row for each row of docs; kept_text is null where nothing was
+    removed, else the kept words joined by one space. With `carry`, columns of docs, returns these with
+    n_removed and kept_text: then what joins the documents is narrow, the runs of words that go.
 
     Level 1 is half a window. Of each window's halves only the one of least hash, its anchor, is surveyed:
     equal windows have equal anchors, so none is lost, and about one position in thirteen is shuffled.
@@ -123,7 +153,6 @@ def substring_dedup(docs: DataFrame, window: int = 50, carry: list[str] | None =
     owns nothing. Rows that repeat a doc_id are one document to each other: nothing is removed for their
     sake. An empty table gives an empty result. Other columns are ignored unless carried.
     """
-    carry = carry or ["doc_id"]
     half = F.arrow_udf(_survey(window), "n_words long, kept_sha256 string, anchors array<long>")
     seen = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("_t"), half("text").alias("_s"))
     seen = keep(seen.select("doc_id", F.unhex("_t").alias("_t"), "_s.*"), "substring_survey")
@@ -141,33 +170,35 @@ def substring_dedup(docs: DataFrame, window: int = 50, carry: list[str] | None =
     # Level 2: the whole windows at those anchors.
     ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    source = docs.select(*dict.fromkeys([*carry, "doc_id", "text"]))
-    with_text = source.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    with_text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
     with_text = with_text.withColumn("_t", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     pairs = with_text.join(wanted, ["doc_id", "_t"])
     whole = F.arrow_udf(_windows(window), "h array<long>, p array<int>")
-    pairs = keep(pairs.withColumn("_w", whole("text", "_wanted")).drop("_wanted"), "substring_windows")
+    pairs = pairs.withColumn("_w", whole("text", "_wanted")).drop("_wanted")
+    pairs = keep(pairs.drop("text") if carry else pairs, "substring_windows")
     windows = pairs.select("doc_id", "_t", F.explode(F.arrays_zip("_w.h", "_w.p")).alias("_z")).select("doc_id", "_t", F.col("_z.h").alias("_h"), F.col("_z.p").alias("_p"))
     owner = keep(windows.groupBy("_h").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").select("_h", "_first"), "substring_owners")
     hits = windows.join(owner, "_h").where("_first < doc_id").groupBy("doc_id", "_t").agg(F.collect_set("_p").alias("_at"))
-    cut = F.arrow_udf(_cut(window), "kept string, n_removed long, kept_sha256 string")
-    changed = keep(pairs.drop("_w").join(hits, ["doc_id", "_t"]).withColumn("_c", cut("text", "_at")).select(*carry, *[c for c in ("doc_id", "_t") if c not in carry], "_c"), "substring_changed")
 
     # All documents: copies lose all, changed documents what was cut, the others nothing.
     base = seen.drop("anchors").join(first, "_t", "left")
     copy = F.coalesce((F.col("_rep") < F.col("doc_id")) & (F.col("n_words") >= window), F.lit(False))
+    if carry:
+        runs = F.arrow_udf(_runs(window), "array<long>")
+        cuts = hits.select("doc_id", "_t", runs("_at").alias("_runs"))
+        copies = base.where(copy).select("doc_id", "_t", F.array(F.lit(0).cast("long"), F.col("n_words")).alias("_runs")).distinct()
+        touched = keep(cuts.unionByName(copies), "substring_runs").withColumnsRenamed({"doc_id": "_id", "_t": "_it"})
+        source = docs.select(*dict.fromkeys([*carry, "text", "doc_id"])).withColumn("_t", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+        on = (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_it"))
+        less = F.arrow_udf(_without, "kept string, n_removed long")
+        new = source.join(small(touched), on).withColumn("_c", less("text", "_runs"))
+        same = source.join(small(touched), on, "left_anti").select(*carry, F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept_text"))
+        return same.union(new.select(*carry, F.col("_c.n_removed").alias("n_removed"), F.col("_c.kept").alias("kept_text")))
+    cut = F.arrow_udf(_cut(window), "kept string, n_removed long, kept_sha256 string")
+    changed = keep(pairs.drop("_w").join(hits, ["doc_id", "_t"]).select("doc_id", "_t", cut("text", "_at").alias("_c")), "substring_changed")
     facts = base.select("doc_id", "_t", "n_words", "kept_sha256", copy.alias("_copy"))
-    if carry == ["doc_id"]:
-        cuts = changed.select("doc_id", "_t", "_c").dropDuplicates(["doc_id", "_t"])
-        out = facts.join(cuts, ["doc_id", "_t"], "left")
-        return out.select("doc_id", "n_words", *_verdict())
-    facts = facts.dropDuplicates(["doc_id", "_t"])
-    cuts = changed.select("doc_id", "_t", "_c").dropDuplicates(["doc_id", "_t"])
-    facts = keep(facts.join(cuts, ["doc_id", "_t"], "left"), "substring_facts").where(F.col("_copy") | F.col("_c").isNotNull())
-    facts = facts.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_ft"), "n_words", *_verdict(), F.lit(True).alias("_touched"))
-    touched = source.withColumn("_t", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    out = touched.join(small(facts), (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_ft")), "left")
-    return out.select(*carry, F.col("n_words"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "kept_sha256", "kept_text")
+    out = facts.join(changed.dropDuplicates(["doc_id", "_t"]), ["doc_id", "_t"], "left")
+    return out.select("doc_id", "n_words", *_verdict())
 
 
 def _verdict() -> Iterator:

@@ -130,6 +130,14 @@ def test_substring_of_odd_rows(rows):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_substring_carries_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = substring_dedup(docs).select("doc_id", "n_removed", "kept_text")
+    got = substring_dedup(docs, carry=["doc_id", "text", "lang"])
+    assert got.columns == ["doc_id", "text", "lang", "n_removed", "kept_text"]
+    assert sorted(want.collect(), key=repr) == sorted(got.drop("text", "lang").collect(), key=repr)
+
+
 def test_language_of_held_out_documents(spark, sf_dir):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = [r for r in queries.op5_language_id(spark, sf_dir).collect() if r.held_out]
