@@ -24,6 +24,7 @@ def _stage(operator):
 
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         _work.drop_scope(spark, "pipeline")
+        _work.short_batches(spark)
         with _work.scope("pipeline"):
             return operator(spark, docs.select(*COLUMNS), sf_dir)
 

@@ -41,6 +41,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows of an Arrow batch: whole texts are long, and both sides of the pipe hold a batch of each task.
+BATCH_ROWS = 1024
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Python functions of this session get at most BATCH_ROWS rows at once from now on (Spark's default is 10,000)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage.
 
