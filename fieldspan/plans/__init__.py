@@ -93,6 +93,12 @@ def apply_buffer(plan: DataFrame, points: DataFrame, distance: float, metric: st
     return train.union(val.select(train.columns)).union(rest.select(train.columns)).select("fold", "sample_id", "role")
 
 
+def spatial_folds(points: DataFrame, k: int = 5, size: float = 10.0, distance: float | None = None, test_frac: float = 0.0, seed: int = 42) -> DataFrame:
+    """Folds of whole square blocks of side `size`; with a distance, the buffer is applied."""
+    plan = kfold_plan(blocks(points, size), "block", k, test_frac, seed)
+    return apply_buffer(plan, points, distance) if distance else plan
+
+
 def leakage(plan: DataFrame, cells: DataFrame, window: int) -> DataFrame:
     """By fold: validation rows, and those that share a patch pixel with a training row. cells: sample_id, x, y as integers."""
     x = plan.join(cells.select("sample_id", "x", "y"), "sample_id")

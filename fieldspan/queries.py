@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import plans
 from .functions import d4
-from .operators import importance, intervals, metrics, raster, selection, smearing, spatial
+from .operators import importance, intervals, metrics, raster, selection, smearing, spatial, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -533,3 +533,53 @@ def shapley_exact(s, d):
     x = vectors(s, d).withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(15))))
     worth = F.expr("aggregate(transform(sequence(0, 3), k -> if((shiftright(mask, k) & 1) = 1, cast(v[k] as double) * (1 + bit_count(mask)), 0D)), 0D, (a, z) -> a + z)")
     return importance.shapley(x.select("id", "mask", worth.alias("v")), 4)
+
+
+@query(""", q AS (SELECT list_sort(list(abs(obs - pred)))[ceil((count(*) + 1) * 0.9::DOUBLE)::BIGINT] AS q FROM o)
+SELECT sample_id, round(greatest(pred - q, 0), 3) AS lower, round(pred + q, 3) AS upper FROM o, q""")
+def conformal_interval(s, d):
+    x = obs(s, d)
+    return rounded(intervals.conformal_interval(x, intervals.conformal_point(x), lower_limit=0.0).select("sample_id", "lower", "upper"), 3)
+
+
+@query(", f AS (SELECT avg(exp(obs_t - pred_t)) AS s FROM lg) SELECT sample_id, round(greatest(exp(pred_t) * s - 1, 0), 3) AS mean_surface FROM lg, f")
+def smear_global(s, d):
+    x = logs(s, d)
+    return rounded(smearing.smear(x, smearing.smearing_factor(x)).select("sample_id", "mean_surface"), 3)
+
+
+@query(""", e AS (SELECT quantile_cont(pred_t, [0.2, 0.4, 0.6, 0.8]) AS e FROM lg), b AS (SELECT obs_t, pred_t, len(list_filter(e, lambda v: v < pred_t)) + 1 AS bin FROM lg, e),
+l AS (SELECT median(pred_t) AS c, avg(exp(obs_t - pred_t)) AS s FROM b GROUP BY bin), n AS (SELECT c, s, lead(c) OVER (ORDER BY c) AS c2, lead(s) OVER (ORDER BY c) AS s2 FROM l), lo AS (SELECT arg_min(s, c) AS s0 FROM l)
+SELECT sample_id, round(greatest(exp(pred_t) * CASE WHEN c IS NULL THEN s0 WHEN c2 IS NULL THEN s ELSE s + (s2 - s) * (pred_t - c) / (c2 - c) END - 1, 0), 3) AS mean_surface FROM (SELECT * FROM lg ASOF LEFT JOIN n ON lg.pred_t >= n.c), lo""")
+def smear_level(s, d):
+    x = logs(s, d)
+    return rounded(smearing.smear_level(x, smearing.smearing_levels(x)).select("sample_id", "mean_surface"), 3)
+
+
+@query("SELECT arg_min(sample_id, sample_id) AS sample_id, profile, arg_min(x, sample_id) AS x, arg_min(y, sample_id) AS y, arg_min(value, sample_id) AS value FROM pt GROUP BY profile")
+def first_by_profile(s, d):
+    return tables.first_rows(points(s, d), "profile", "sample_id")
+
+
+@query("""SELECT unit_id, CASE WHEN fold = 0 THEN 'rerun' ELSE status END AS status, round(CASE WHEN fold = 0 THEN val_mae / 2 ELSE val_mae END, 6) AS val_mae FROM un""")
+def upsert_units(s, d):
+    u = units(s, d).select("unit_id", "fold", "status", "val_mae")
+    again = u.where("fold = 0").select("unit_id", "fold", F.lit("rerun").alias("status"), (F.col("val_mae") / 2).alias("val_mae"))
+    return tables.upsert(u, again, ["unit_id"]).drop("fold")
+
+
+@query("""SELECT a.fold, a.seed, round(a.val_mae, 6) AS a, round(b.val_mae, 6) AS b, round(b.val_mae - a.val_mae, 6) AS difference FROM un a JOIN un b USING (fold, seed) WHERE a.config_id = 1 AND b.config_id = 2""")
+def paired_by_seed(s, d):
+    u = units(s, d)
+    return tables.paired(u.where("config_id = 1"), u.where("config_id = 2"), ["fold", "seed"], "val_mae")
+
+
+@query("SELECT o.l_orderkey, o.l_linenumber, p_brand FROM lineitem o JOIN part ON l_partkey = p_partkey")
+def strict_join(s, d):
+    x = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    return tables.strict_join(x, table(s, d, "part").select("p_partkey", "p_brand"), ["p_partkey"]).drop("p_partkey")
+
+
+@query()
+def spatial_folds(s, d):
+    return plans.spatial_folds(points(s, d), distance=1.0, test_frac=0.15)
