@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import only_finite
+from ..functions import only_finite, running_sum
 
 INF = float("inf")
 
@@ -22,8 +22,7 @@ def conformal_point(df: DataFrame, alpha: float = 0.1, by: list[str] = (), diffi
     """
     s = only_finite(df.withColumn("_s", _score(difficulty)), "_s").groupBy(*by, "_s").agg(F.count("*").alias("_m"))
     n = s.groupBy(*by).agg(F.sum("_m").alias("n"))
-    run = Window.partitionBy(*by).orderBy("_s")
-    s = s.withColumn("_c", F.sum("_m").over(run))
+    s = running_sum(s, "_s", "_m", "_c", by)
     s = s.join(n, list(by)) if by else s.crossJoin(F.broadcast(n))
     k = F.ceil((F.col("n") + 1) * F.lit(1 - alpha)).cast("long")
     return s.groupBy(*by, "n").agg(F.min(F.when(F.col("_c") >= k, F.col("_s"))).alias("q")).select(*by, "n", k.alias("k"), F.coalesce("q", F.lit(INF)).alias("q"))
@@ -35,7 +34,7 @@ def conformal_group(df: DataFrame, group: str, alpha: float = 0.1, difficulty: s
     size = s.groupBy("_g").agg((F.lit(1.0) / F.count("*")).alias("_w"))
     m = size.agg(F.count("*").alias("m"))
     v = s.join(size, "_g").groupBy("_s").agg(F.sum("_w").alias("_w"))
-    v = v.withColumn("_c", F.sum("_w").over(Window.orderBy("_s"))).crossJoin(F.broadcast(m))
+    v = running_sum(v, "_s", "_w", "_c").crossJoin(F.broadcast(m))
     target = F.lit(1 - alpha) * (F.col("m") + 1)
     tol = F.lit(1e-9) * (F.col("m") + 1)
     q = F.min(F.when((F.col("_c") >= target - tol) & (target <= F.col("m") + tol), F.col("_s")))

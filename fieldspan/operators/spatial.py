@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import haversine, laea
+from ..functions import draw_key, haversine, laea
 
 
 def equal_area_blocks(df: DataFrame, size_km: float, lon0: float, lat0: float) -> DataFrame:
@@ -59,32 +61,75 @@ def block_bootstrap(df: DataFrame, block: str, n_boot: int = 200, seed: int = 42
     return point.join(limits, "metric")
 
 
-def di_reference(train: DataFrame) -> DataFrame:
-    """Mean distance of all pairs of a training cloud of bounded size (id, v): the unit of dissimilarity."""
-    a, b = train.select(F.col("id").alias("ia"), F.col("v").alias("va")), train.select(F.col("id").alias("ib"), F.col("v").alias("vb"))
-    return a.join(F.broadcast(b), F.col("ia") < F.col("ib")).agg(F.avg(_distance("va", "vb")).alias("avg_dist"), F.count("*").alias("n_pairs"))
+def _in_blocks(df: DataFrame, cols: list[str], rows: int, blocks_of: str) -> DataFrame:
+    """One row for about `rows` rows: block, and the columns as arrays."""
+    n = df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / rows)).alias("_n"))
+    x = df.crossJoin(F.broadcast(n)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_n")))
+    rows_ = x.groupBy("block").agg(F.collect_list(F.struct(*cols)).alias("_r"))
+    return rows_.select(F.col("block").alias(f"block_{blocks_of}"), *[F.col(f"_r.{c}").alias(f"{c}_{blocks_of}") for c in cols])
 
 
-def _distance(a: str, b: str):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
+def di_reference(train: DataFrame, max_rows: int = 2000, seed: int = 42) -> DataFrame:
+    """Mean distance of all pairs of a training cloud (id, v): the unit of dissimilarity.
 
+    Of more than max_rows rows, those of least md5 of the id stand for all; two thousand make two million pairs.
+    """
+    kept = train.select("id", "v").orderBy(draw_key(seed, "id"), "id").limit(max_rows)
+    a, b = _in_blocks(kept, ["v"], 512, "a"), _in_blocks(kept, ["v"], 512, "b")
 
-def dissimilarity(train: DataFrame, x: DataFrame, unit: DataFrame) -> DataFrame:
-    """Distance of each row of x (id, v) to the nearest training row, in units of avg_dist.
+    def sums(batches):
+        for t in batches:
+            for i, j, va, vb in zip(t.block_a, t.block_b, t.v_a, t.v_b):
+                d = np.sqrt(_squared(_matrix(va), _matrix(vb)))
+                d = d[np.triu_indices(len(d), 1)] if i == j else d.ravel()
+                yield pd.DataFrame({"s": [float(d.sum())], "n": [d.size]})
+
+    pairs = a.crossJoin(b).where("block_a <= block_b").mapInPandas(sums, "s double, n long")
+    return pairs.agg((F.sum("s") / F.sum("n")).alias("avg_dist"), F.sum("n").alias("n_pairs"))
+
+
+def _matrix(rows) -> np.ndarray:
+    return np.array([np.asarray(r, dtype=np.float64) for r in rows])
+
+
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+
+
+def nearest(x: DataFrame, train: DataFrame, other_folds: bool = False) -> DataFrame:
+    """(id, d): the distance of each row of x to the nearest row of train, of another fold if other_folds.
 
-    The training cloud is the bounded side (a fitted model's rows) and is broadcast in one row per training row;
-    the minimum is combined before the shuffle.
+    Blocks of a thousand rows of either side meet, so no side has to fit in a task; one row an id and block pair is shuffled.
     """
-    t = train.select(F.col("v").alias("vt"))
-    near = x.crossJoin(F.broadcast(t)).groupBy("id").agg(F.min(_distance("v", "vt")).alias("d"))
+    cols = ["id", "v", "fold"] if other_folds else ["id", "v"]
+    pairs = _in_blocks(x, cols, 1024, "a").crossJoin(_in_blocks(train, cols, 1024, "b"))
+
+    def least(batches):
+        for t in batches:
+            for r in t.itertuples(index=False):
+                a, b = _matrix(r.v_a), _matrix(r.v_b)
+                sq = _squared(a, b)
+                if other_folds:
+                    sq[np.asarray(r.fold_a)[:, None] == np.asarray(r.fold_b)[None]] = np.inf
+                at = sq.argmin(1)
+                d = np.where(np.isfinite(sq.min(1)), np.sqrt(((a - b[at]) ** 2).sum(1)), np.inf)
+                yield pd.DataFrame({"id": np.asarray(r.id_a), "d": d})
+
+    return pairs.mapInPandas(least, "id long, d double").groupBy("id").agg(F.min("d").alias("d"))
+
+
+def _in_units(near: DataFrame, unit: DataFrame) -> DataFrame:
     return near.crossJoin(F.broadcast(unit)).select("id", (F.col("d") / F.col("avg_dist")).alias("di"))
 
 
+def dissimilarity(train: DataFrame, x: DataFrame, unit: DataFrame) -> DataFrame:
+    """Distance of each row of x (id, v) to the nearest training row, in units of avg_dist."""
+    return _in_units(nearest(x, train), unit)
+
+
 def cross_fold_di(train: DataFrame, unit: DataFrame) -> DataFrame:
     """Dissimilarity of each training row (id, v, fold) to the rows of other folds."""
-    b = train.select(F.col("v").alias("vt"), F.col("fold").alias("ft"))
-    near = train.join(F.broadcast(b), F.col("fold") != F.col("ft")).groupBy("id").agg(F.min(_distance("v", "vt")).alias("d"))
-    return near.crossJoin(F.broadcast(unit)).select("id", (F.col("d") / F.col("avg_dist")).alias("di"))
+    return _in_units(nearest(train, train, other_folds=True), unit)
 
 
 def aoa_threshold(cv_di: DataFrame, k_iqr: float = 1.5) -> DataFrame:

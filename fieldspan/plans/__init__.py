@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import draw_key
+from ..functions import draw_key, running_sum
 
 
 def blocks(df: DataFrame, size: float) -> DataFrame:
@@ -33,10 +33,10 @@ def suggest_block_size(df: DataFrame, sizes: list[float], k: int = 5, max_share:
 
 def draw_groups(df: DataFrame, group: str, frac: float, seed: int) -> DataFrame:
     """Groups in a random order, taken while fewer rows than the fraction have been taken before. One row a group."""
-    g = df.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"))
-    order = Window.orderBy(draw_key(seed, "group")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = g.withColumn("_before", F.sum("n").over(order) - F.col("n")).withColumn("_all", F.sum("n").over(Window.partitionBy()))
-    return g.where(F.col("_before") < F.ceil(F.col("_all") * frac)).select("group")
+    g = df.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n")).withColumn("_h", draw_key(seed, "group"))
+    g = running_sum(g, "_h", "n", "_upto").crossJoin(F.broadcast(df.agg(F.count("*").alias("_all"))))
+    return g.where(F.col("_upto") - F.col("n") < F.ceil(F.col("_all") * frac)).select("group")
+
 
 
 def deal(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:

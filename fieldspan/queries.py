@@ -50,7 +50,7 @@ un AS (SELECT config_id::BIGINT AS config_id, fold, seed, CASE WHEN config_id =
               2 * covar_pop(obs, pred) / (var_pop(obs) + var_pop(pred) + (avg(obs) - avg(pred)) ** 2) AS val_ccc, avg(abs(pred - obs)) AS val_mae, config_id * 1000 AS n_params,
               config_id || '_f' || fold || '_s' || seed AS unit_id
        FROM o GROUP BY config_id, fold, seed),
-ce AS (SELECT 'b' || (event_id % 3) AS band, ((event_id // 3) // 40)::INT AS "row", ((event_id // 3) % 40)::INT AS col, CASE WHEN event_id % 211 = 0 THEN NULL ELSE value END AS value FROM events WHERE event_id < 4800),
+ce AS (SELECT 'b' || (event_id % 3) AS band, ((event_id // 3) // 40)::INT AS "row", ((event_id // 3) % 40)::INT AS col, CASE WHEN event_id % 211 = 0 THEN NULL ELSE value END AS value FROM events),
 em AS (SELECT vec_id AS id, embedding AS v, (vec_id % 5)::INT AS fold FROM embeddings)"""
 
 
@@ -81,7 +81,7 @@ def units(s: SparkSession, d: str) -> DataFrame:
 
 
 def cells(s: SparkSession, d: str) -> DataFrame:
-    e, k = table(s, d, "events").where("event_id < 4800"), F.col("event_id")
+    e, k = table(s, d, "events"), F.col("event_id")
     cell = F.floor(k / 3)
     return e.select(
         F.concat(F.lit("b"), (k % 3).cast("string")).alias("band"), F.floor(cell / 40).cast("int").alias("row"), (cell % 40).cast("int").alias("col"), F.when(k % 211 != 0, F.col("value")).alias("value")
@@ -356,12 +356,12 @@ def block_subsample(s, d):
     return plans.draw_groups(plans.blocks(points(s, d), 10.0), "block", 0.3, 42)
 
 
-_DI = """tr AS (SELECT * FROM em WHERE id < 200), un2 AS (SELECT avg(list_distance(a.v::DOUBLE[], b.v::DOUBLE[])) AS u, count(*) AS n FROM tr a JOIN tr b ON a.id < b.id),
+_DI = """tr AS (SELECT * FROM em WHERE fold <> 0), un2 AS (SELECT avg(list_distance(a.v::DOUBLE[], b.v::DOUBLE[])) AS u, count(*) AS n FROM tr a JOIN tr b ON a.id < b.id),
 cvd AS (SELECT a.id, min(list_distance(a.v::DOUBLE[], b.v::DOUBLE[])) / max(u) AS di FROM tr a JOIN tr b ON a.fold <> b.fold, un2 GROUP BY a.id)"""
 
 
 def _cloud(s, d):
-    t = vectors(s, d).where("id < 200")
+    t = vectors(s, d).where("fold <> 0")
     return t, spatial.di_reference(t)
 
 
@@ -370,10 +370,10 @@ def di_reference(s, d):
     return _cloud(s, d)[1]
 
 
-@query(f", {_DI} SELECT a.id, round(min(list_distance(a.v::DOUBLE[], b.v::DOUBLE[])) / max(u), 6) AS di FROM em a, tr b, un2 WHERE a.id >= 200 GROUP BY a.id")
+@query(f", {_DI} SELECT a.id, round(min(list_distance(a.v::DOUBLE[], b.v::DOUBLE[])) / max(u), 6) AS di FROM em a, tr b, un2 WHERE a.fold = 0 GROUP BY a.id")
 def dissimilarity_index(s, d):
     t, u = _cloud(s, d)
-    return spatial.dissimilarity(t, vectors(s, d).where("id >= 200"), u.select("avg_dist"))
+    return spatial.dissimilarity(t, vectors(s, d).where("fold = 0"), u.select("avg_dist"))
 
 
 @query(f", {_DI} SELECT round(quantile_cont(di, 0.75) + 1.5 * (quantile_cont(di, 0.75) - quantile_cont(di, 0.25)), 6) AS threshold FROM cvd")
@@ -383,11 +383,11 @@ def aoa_threshold(s, d):
 
 
 @query(f""", {_DI}, th AS (SELECT quantile_cont(di, 0.75) + 1.5 * (quantile_cont(di, 0.75) - quantile_cont(di, 0.25)) AS t FROM cvd),
-x AS (SELECT a.id, min(list_distance(a.v::DOUBLE[], b.v::DOUBLE[])) / max(u) AS di FROM em a, tr b, un2 WHERE a.id >= 200 GROUP BY a.id) SELECT id, di <= t AS inside FROM x, th""")
+x AS (SELECT a.id, min(list_distance(a.v::DOUBLE[], b.v::DOUBLE[])) / max(u) AS di FROM em a, tr b, un2 WHERE a.fold = 0 GROUP BY a.id) SELECT id, di <= t AS inside FROM x, th""")
 def inside_aoa(s, d):
     t, u = _cloud(s, d)
     u = u.select("avg_dist")
-    return spatial.inside_aoa(spatial.dissimilarity(t, vectors(s, d).where("id >= 200"), u), spatial.aoa_threshold(spatial.cross_fold_di(t, u))).select("id", "inside")
+    return spatial.inside_aoa(spatial.dissimilarity(t, vectors(s, d).where("fold = 0"), u), spatial.aoa_threshold(spatial.cross_fold_di(t, u))).select("id", "inside")
 
 
 @query(""", z AS (SELECT sample_id AS id, x, y, value - (SELECT avg(value) FROM pt) AS z FROM pt), m AS (SELECT avg(z * z) AS v, count(*) AS n FROM z),
@@ -439,13 +439,13 @@ def scale_features(s, d):
     return z.groupBy("fold", "predictor").agg(F.count("*").alias("n"), F.min("scaled").alias("low"), F.max("scaled").alias("high"))
 
 
-_PA = """ctr AS (SELECT (o_orderkey * 3)::BIGINT AS sample_id, (o_orderkey % 40)::INT AS r0, ((o_orderkey // 7) % 40)::INT AS c0 FROM orders WHERE o_orderkey % 5 = 0),
-pa AS (SELECT sample_id, band, list(value ORDER BY col, "row") AS patch, count(value) = 9 AS valid FROM ctr JOIN ce ON abs(ce."row" - r0) <= 1 AND abs(ce.col - c0) <= 1 GROUP BY 1, 2)"""
+_PA = """ctr AS (SELECT (o_orderkey * 3)::BIGINT AS sample_id, (o_orderkey % 40)::INT AS r0, ((o_orderkey // 7) % 40)::INT AS c0 FROM orders),
+pa AS (SELECT sample_id, band, list(value ORDER BY col, "row") AS patch, count(value) = 9 AS valid FROM ctr, (SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc) JOIN ce ON ce."row" = r0 + dr AND ce.col = c0 + dc GROUP BY 1, 2)"""
 
 
 def _patches(s, d):
     k = F.col("o_orderkey")
-    at = table(s, d, "orders").where(k % 5 == 0).select((k * 3).alias("sample_id"), (k % 40).cast("int").alias("row"), (F.floor(k / 7) % 40).cast("int").alias("col"))
+    at = table(s, d, "orders").select((k * 3).alias("sample_id"), (k % 40).cast("int").alias("row"), (F.floor(k / 7) % 40).cast("int").alias("col"))
     return raster.patches(cells(s, d), at, 3)
 
 
