@@ -114,3 +114,31 @@ def check_plan(plan: DataFrame, groups: DataFrame) -> DataFrame:
     split = plan.join(groups, "sample_id").groupBy("fold", "group").agg(F.count_distinct("role").alias("r")).groupBy("fold").agg(F.count_if(F.col("r") > 1).alias("n_split_groups"))
     size = plan.groupBy("fold").agg(*[F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("train", "validation", "test")])
     return size.join(twice, "fold").join(split, "fold")
+
+
+def matched_folds(points: DataFrame, targets: DataFrame, sizes: list[float], k: int = 5, seed: int = 42, sample: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Folds whose distances to the nearest training point are most like those from the targets to the points.
+
+    Candidates are folds of whole square blocks of each side, and of single rows (side 0). Distances are measured from
+    at most `sample` points (of least md5) to all; the candidate of least mean absolute difference of quantiles wins.
+    Returns (sample_id, fold) and the table of candidates (block_size, w).
+    """
+    from ..operators.spatial import nearest
+
+    drawn = lambda df: df.orderBy(draw_key(seed, "id"), "id").limit(sample)
+    vector = F.array("x", "y").alias("v")
+    levels = F.array(*[F.lit(i / 20) for i in range(1, 20)])
+    shape = lambda d, name: d.agg(F.percentile("d", levels).alias(name))
+    p = points.select(F.col("sample_id").alias("id"), "x", "y")
+    goal = shape(nearest(drawn(targets.select("id", vector)), p.select("id", vector)), "goal")
+    table, dealt = None, {}
+    for size in sizes:
+        g = blocks(p, size) if size > 0 else p.withColumn("block", F.md5(F.col("id").cast("string")).substr(1, 3))
+        dealt[size] = g.join(deal(g, "block", k, seed).withColumnRenamed("group", "block"), "block").select("id", "x", "y", "fold")
+        v = dealt[size].select("id", vector, "fold")
+        got = shape(nearest(drawn(v), v, other_folds=True), "got").crossJoin(goal)
+        w = F.aggregate(F.zip_with("got", "goal", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / 19
+        row = got.select(F.lit(float(size)).alias("block_size"), w.alias("w"))
+        table = row if table is None else table.unionByName(row)
+    best = min(table.collect(), key=lambda r: (r["w"], r["block_size"]))["block_size"]
+    return dealt[next(s for s in sizes if float(s) == best)].select(F.col("id").alias("sample_id"), "fold"), table
