@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from fieldspan import queries
+from fieldspan import more_queries, queries  # noqa: F401
 
 HEADLINE = (
     "calc_metrics_by_group", "quantile_performance", "conformal_point", "conformal_group", "coverage_by_group", "conformal_scaled_interval", "smearing_check", "apply_buffer", "leakage_report",

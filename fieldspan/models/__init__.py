@@ -152,7 +152,7 @@ def fit_units(df: DataFrame, todo: DataFrame, model: str, max_rows: int = 200_00
     """df: sample_id, x array<double>, y, fold (that holds the row out). Out-of-fold predictions of each unit, one row a sample.
 
     A unit fits and validates in one task, on at most max_rows rows (those of least md5 of the id); `predict_units`
-    scores tables of any size with what was fitted. A unit that fails gives one row with its error. Rows with null or non-finite inputs take no part.
+    scores tables of any size with what was fitted. A cfg with `without` fits with that input as 0. A unit that fails gives one row with its error. Rows with null or non-finite inputs take no part.
     """
     spec = get_model(model)
     ok = df.where(F.col("y").isNotNull() & ~F.isnan("y") & F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))))
@@ -165,7 +165,10 @@ def fit_units(df: DataFrame, todo: DataFrame, model: str, max_rows: int = 200_00
         try:
             t = t.sort_values("sample_id")
             x, y, held = np.stack(t.x.to_numpy()).astype(float), t.y.to_numpy(float), (t._fold == fold).to_numpy()
-            fitted = spec.fit(x[~held], y[~held], x[held], y[held], json.loads(text), int(seed))
+            cfg = json.loads(text)
+            if "without" in cfg:
+                x[:, cfg.pop("without")] = 0.0
+            fitted = spec.fit(x[~held], y[~held], x[held], y[held], cfg, int(seed))
             out = pd.DataFrame({"sample_id": t.sample_id[held], "obs": y[held], "pred": spec.predict(fitted, x[held])})
             head |= {"status": "success", "error": None, "n_params": spec.count_params(fitted), "n_train": int((~held).sum())}
             blob = pickle.dumps(fitted) if keep_model else None
@@ -178,7 +181,9 @@ def fit_units(df: DataFrame, todo: DataFrame, model: str, max_rows: int = 200_00
             out.iat[0, out.columns.get_loc("model")] = blob
         return out
 
-    return rows.groupBy("config_id", "cfg", "fold", "seed").applyInPandas(unit, _FITTED)
+    # A stated number of partitions is kept: merged small ones would put many fits into one task.
+    keys = ["config_id", "cfg", "fold", "seed"]
+    return rows.repartition(max(1, todo.count()), *keys).groupBy(*keys).applyInPandas(unit, _FITTED)
 
 
 def unit_scores(fitted: DataFrame) -> DataFrame:

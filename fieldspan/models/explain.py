@@ -44,20 +44,12 @@ def permutation_importance(df: DataFrame, model: str, fitted, names: list[str],
 
 def refit_importance(df: DataFrame, model: str, cfg: dict, names: list[str], folds: list[int], seed: int = 42, max_rows: int = 200_000) -> DataFrame:
     """variable, importance: the fall of the mean validation ccc when the model is fitted without each variable."""
-    spark = df.sparkSession
-
-    def score(x: DataFrame, name: str) -> DataFrame:
-        s = unit_scores(fit_units(x, units(spark, [cfg], folds, base_seed=seed), model, max_rows))
-        return s.agg(F.avg("val_ccc").alias("ccc")).withColumn("variable", F.lit(name))
-
-    def without(i: int):
-        return F.transform("x", lambda v, j: F.when(j == i, 0.0).otherwise(v))
-
-    out = None
-    for i, n in enumerate(names):
-        part = score(df.withColumn("x", without(i)), n)
-        out = part if out is None else out.unionByName(part)
-    return out.crossJoin(F.broadcast(score(df, "").select(F.col("ccc").alias("base")))).select("variable", (F.col("base") - F.col("ccc")).alias("importance"))
+    grid = [cfg] + [cfg | {"without": i} for i in range(len(names))]
+    s = unit_scores(fit_units(df, units(df.sparkSession, grid, folds, base_seed=seed), model, max_rows))
+    s = s.groupBy("config_id").agg(F.avg("val_ccc").alias("ccc"))
+    base = s.where("config_id = 'cfg_001'").select(F.col("ccc").alias("base"))
+    name = F.get(F.array(*map(F.lit, names)), F.substring("config_id", 5, 9).cast("int") - 2)
+    return s.where("config_id <> 'cfg_001'").crossJoin(F.broadcast(base)).select(name.alias("variable"), (F.col("base") - F.col("ccc")).alias("importance"))
 
 
 def coalitions(df: DataFrame, model: str, fitted, background: list[list[float]]) -> DataFrame:
@@ -117,7 +109,7 @@ def gradient_shap(df: DataFrame, fitted, steps: int = 50, background: list[list[
                 from_ = b if background is None else b[rng.integers(0, len(b), len(x))]
                 total += (x - from_) * network.gradient(net, from_ + a * (x - from_))
             base = network.predict(net, b).mean() * fitted.ys + fitted.ym
-            yield pd.DataFrame({"sample_id": t.sample_id, "pred": network.predict(net, x) * fitted.ys + fitted.ym, "base": base, "phi": list(total / steps * fitted.ys)})
+            yield pd.DataFrame({"sample_id": t.sample_id, "pred": network.predict(net, x) * fitted.ys + fitted.ym, "base": base, "phi": pd.Series(list(total / steps * fitted.ys), dtype=object, index=t.index)})
 
     return df.select("sample_id", "x").mapInPandas(run, schema)
 

@@ -40,7 +40,7 @@ def predict_tiles(cells: DataFrame, model: str, fitted: list, bands: list[str],
             z = views[:, r[i : i + 4096], c[i : i + 4096]].transpose(1, 0, 3, 2).reshape(len(r[i : i + 4096]), -1)
             for k, f in enumerate(fitted):
                 out[k, i : i + 4096] = np.maximum(spec.predict(f, z), lower)
-        return pd.DataFrame({"row": r + r0 + h, "col": c + c0 + h, "preds": list(out.T)})
+        return pd.DataFrame({"row": r + r0 + h, "col": c + c0 + h, "preds": pd.Series(out.T.tolist(), dtype=object)})
 
     wanted = with_halo(cells.where(F.col("band").isin(bands)).select("band", "row", "col", "value"), tile, h)
     return wanted.groupBy("tile_r", "tile_c").applyInPandas(run, "row int, col int, preds array<double>")

@@ -11,7 +11,7 @@ from .queries import _CV, _M, _MS, _cv_intervals, _patches, cells, logs, obs, po
 
 FEATURES = ["quantity", "discount", "tax", "price"]
 #: Units are fitted on at most so many rows in these queries.
-FIT_ROWS = 20_000
+FIT_ROWS = 4_000
 
 
 def features(s, d):

@@ -3,7 +3,7 @@ import importlib.util
 import pytest
 
 import __spark_entry__ as entry
-from fieldspan import queries
+from fieldspan import more_queries, queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
