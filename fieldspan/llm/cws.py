@@ -7,26 +7,25 @@ from pyspark.sql import functions as F
 
 #: Rows of a range of documents, and coarse ranges whose borders are literals.
 RANGE_ROWS, COARSE = 4096, 64
-#: Bits of the bin and of the code of a sample; width of the scaled logarithm between them.
-BIN_BITS, CODE_BITS, LN_BITS = 7, 16, 40
-
-
-def _unit(h: str, high: bool) -> str:
-    """A uniform number in (0, 1) from one half of a 64-bit hash."""
-    half = f"shiftrightunsigned({h}, 32)" if high else f"({h} & 4294967295L)"
-    return f"(({half} + 0.5D) / 4294967296D)"
+#: Samples of a text; bits of the code of a sample.
+SAMPLES, CODE_BITS = 128, 16
+#: About so many elements are dealt before it is looked whether every sample has one.
+DEAL = 900
 
 
 def with_samples(df: DataFrame, text: str, out: str, words: int = 5) -> DataFrame:
-    """df with column `out`: the weighted samples of a text column, an array of longs, bin and code.
+    """df with column `out`: the weighted samples of a text column, an array of 128 longs, sample number and code.
+
+    Terms are runs of `words` words (all words, if there are fewer), weighted by how often they occur. A term of
+    weight w is the elements (term, 0) to (term, w - 1); each sample is the element of least rank of ALL elements
+    of the text, so two texts have an equal sample with probability sum(min) / sum(max) of the weights.
 
-    Terms are runs of `words` words (all words, if there are fewer), weighted by how often they occur. For a
-    term of weight w: r and c are Gamma(2, 1) and b is uniform, all from hashes of the term; t = floor(ln w
-    / r + b), ln y = r (t - b), and ln a = ln c - ln y - r. In each bin, which the hash chooses too, the
-    term of least a is the sample, known by the term and t. Two texts have equal samples in a bin with
-    probability sum(min) / sum(max) of the weights there.
+    Ranks are those of fast similarity sketching (Dahlgaard, Knudsen and Thorup 2017): in round i = 0, 1, ... 127
+    a hash deals each element to one sample, and in round 128 + k every element goes to sample k. An element's rank
+    in a sample is the first such round, then the hash. Once each sample has an element, later rounds cannot change
+    one and are not run, which is exact: a text takes about max(elements, DEAL) hashes and not 128 for each element.
     """
-    t, w, h, g, s, b, z = (f"_{out}{x}" for x in "twhgsbz")
+    t, w, h, g, s, b, e, z = (f"_{out}{x}" for x in "twhgsbez")
     space = r"[\\x20\\x09-\\x0D]+"
     df = df.withColumn(t, F.expr(f"split({text}, '{space}')"))
     df = df.withColumn(w, F.expr(f"filter({t}, x -> x <> '')")).drop(t)
@@ -35,31 +34,26 @@ def with_samples(df: DataFrame, text: str, out: str, words: int = 5) -> DataFram
     df = df.withColumn(g, F.expr(f"if(size({h}) = 0, array(), transform(sequence(0, greatest(size({h}) - {words}, 0)), i -> xxhash64({run})))")).drop(h)
     df = df.withColumn(s, F.expr(f"sort_array({g})")).drop(g)
     df = df.withColumn(b, F.expr(f"filter(transform({s}, (x, i) -> if(i > 0 and get({s}, i - 1) = x, -1, i)), i -> i >= 0)"))
-    term, weight = f"get({s}, i)", f"(coalesce(get({b}, j + 1), size({s})) - i)"
-    r = f"(-ln({_unit('p.x', True)} * {_unit('p.x', False)}))"
-    c = f"(-ln({_unit('xxhash64(p.x, 1)', True)} * {_unit('xxhash64(p.x, 1)', False)}))"
-    u = _unit("xxhash64(p.x, 2)", True)
-    step = f"floor(ln(p.w) / {r} + {u})"
-    # For weight 1, t is 0.
-    ln_a = f"if(p.w = 1, ln({c}) - {r} * (1 - {u}), ln({c}) - {r} * ({step} - {u} + 1))"
-    code = f"(xxhash64(p.x, if(p.w = 1, 0L, {step})) & {(1 << CODE_BITS) - 1})"
-    scaled = f"cast(least(greatest({ln_a} + 1024D, 0D), 2047D) * {1 << (LN_BITS - 11)} as bigint)"
-    body = f"shiftleft(p.x & {(1 << BIN_BITS) - 1}, {LN_BITS + CODE_BITS}) | shiftleft({scaled}, {CODE_BITS}) | {code}"
-    # The term and its weight are computed once, in an inner array of pairs.
-    pairs = f"transform({b}, (i, j) -> struct({term} as x, {weight} as w))"
-    df = df.withColumn(z, F.expr(f"sort_array(transform({pairs}, p -> {body}))")).drop(s, b)
-    top = LN_BITS + CODE_BITS
-    first = f"filter(transform({z}, (x, i) -> if(i > 0 and shiftright(get({z}, i - 1), {top}) = shiftright(x, {top}), -1L, x)), x -> x >= 0)"
-    return df.withColumn(out, F.expr(f"transform({first}, x -> shiftleft(shiftright(x, {top}), {CODE_BITS}) | (x & {(1 << CODE_BITS) - 1}))")).drop(z)
+    # The n-th occurrence of a term is an element of its own; without repeats, terms are the elements.
+    each = f"transform({b}, (i, j) -> transform(sequence(i, coalesce(get({b}, j + 1), size({s})) - 1), k -> if(k = i, get({s}, k), xxhash64(get({s}, k), k - i))))"
+    df = df.withColumn(e, F.expr(f"if(size({b}) = size({s}), {s}, flatten({each}))")).drop(s, b)
+    rounds = f"greatest(1, least({2 * SAMPLES}, cast(ceil({DEAL} / size({e})) as int)))"
+    # Sample number, round and 48 bits of the hash, of which the last 16 are the code.
+    dealt = f"shiftleft(cast(if(i < {SAMPLES}, v & {SAMPLES - 1}, i - {SAMPLES}) as bigint), 56) | shiftleft(cast(i as bigint), 48) | shiftrightunsigned(v, 16)"
+    some = f"flatten(transform(sequence(k * {rounds}, least((k + 1) * {rounds}, {2 * SAMPLES}) - 1), i -> transform(transform({e}, x -> xxhash64(x, i)), v -> {dealt})))"
+    least = f"transform(array(sort_array(concat(a, {some}))), y -> filter(y, (x, i) -> i = 0 or shiftright(get(y, i - 1), 56) <> shiftright(x, 56)))[0]"
+    steps = f"sequence(0, cast(ceil({2 * SAMPLES} / {rounds}) as int) - 1)"
+    df = df.withColumn(z, F.expr(f"if(size({e}) = 0, cast(array() as array<bigint>), aggregate({steps}, cast(array() as array<bigint>), (a, k) -> if(size(a) = {SAMPLES}, a, {least})))")).drop(e)
+    return df.withColumn(out, F.expr(f"transform({z}, x -> shiftleft(shiftright(x, 56), {CODE_BITS}) | (x & {(1 << CODE_BITS) - 1}))")).drop(z)
 
 
 def printed(samples: str) -> Column:
-    """A fingerprint as text: six hex digits for each bin in use."""
+    """A fingerprint as text: six hex digits for each sample."""
     return F.expr(f"array_join(transform({samples}, x -> lpad(lower(hex(x)), 6, '0')), '')")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of the bins in use by either where both have the same sample: an estimate of the generalised Jaccard similarity."""
+    """Share of the samples that are equal: an unbiased estimate of the generalised Jaccard similarity."""
     bins = f"size(array_union(transform({a}, x -> shiftright(x, {CODE_BITS})), transform({b}, x -> shiftright(x, {CODE_BITS}))))"
     return F.expr(f"if(size({a}) + size({b}) = 0, 1D, size(array_intersect({a}, {b})) / cast({bins} as double))")
 
@@ -89,10 +83,9 @@ def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, one row for
     each row of docs.
 
-    Each term falls into one of 128 bins and is sampled there by its own gammas, so the work for a text grows
-    with its terms, not with terms times samples. The likeness of two fingerprints is the share of bins with
-    equal samples. Its expectation is the mean of the generalised Jaccard similarity within the bins: exactly the
-    similarity where weights are equal, and near to it for other texts of more terms than bins.
+    Each of the 128 samples is drawn of all terms of a text and their weights (`with_samples`). The likeness of two
+    fingerprints is the share of equal samples, and its expectation is the generalised Jaccard similarity, for texts
+    of any weights and of any number of terms.
 
     Texts are shuffled once, by ranges of doc_id of about 4096 rows; the next document is a window over a range,
     which also has the first row of the next range as a guest. All of a text is sampled within its row.

@@ -164,6 +164,23 @@ def test_fingerprints_estimate_the_likeness(spark, sf_dir):
     assert abs(np.mean(off)) < 0.03 and np.std(off) < 0.1
 
 
+def test_fingerprints_of_skewed_and_short_texts(spark):
+    word = lambda *x: hashlib.md5(repr(x).encode()).hexdigest()[:8]
+    want, rows = {}, []
+    for k in range(12):
+        common = " ".join(word(k, i) for i in range(104))
+        a, b = (" ".join([common, *[word(k)] * n]) for n in (904, 454))
+        pairs = [(a, b), (" ".join([word(k)] * 40), " ".join([word(k)] * 24)), (" ".join(word(k, i) for i in range(6)), " ".join(word(k, i) for i in range(7)))]
+        for j, (x, y) in enumerate(pairs):
+            p, q = grams(x), grams(y)
+            want.setdefault(j, []).append((len(rows), sum((p & q).values()) / sum((p | q).values())))
+            rows += [(len(rows), x), (len(rows) + 1, y)]
+    got = {r.doc_id: r for r in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(r.fingerprint) == 6 * 128 for r in got.values())
+    for off in ([got[i].near_next - w for i, w in v] for v in want.values()):
+        assert abs(np.mean(off)) < 0.05 and max(map(abs, off)) < 0.2
+
+
 def test_equal_texts_have_equal_fingerprints(rows):
     got = {r.doc_id: r for r in fingerprints(rows).collect()}
     assert got[0].fingerprint == got[2].fingerprint != got[1].fingerprint
