@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,11 @@ def test_t_interval():
 def test_infinite_bounds_cover(spark):
     df = spark.createDataFrame([(1.0, float("-inf"), float("inf"))], "obs double, lower double, upper double")
     assert metrics.coverage(df).select(F.col("picp")).first()[0] == 1
+
+
+def test_the_unit_of_dissimilarity_is_of_all_pairs(spark):
+    v = np.random.default_rng(5).normal(size=(2300, 3))
+    v[2000:] *= 20
+    got = spatial.di_reference(spark.createDataFrame([(i, [float(z) for z in r]) for i, r in enumerate(v)], "id long, v array<double>")).first()
+    want = sum(np.sqrt(((v[i + 1 :] - r) ** 2).sum(1)).sum() for i, r in enumerate(v))
+    assert got["n_pairs"] == 2300 * 2299 // 2 and got["avg_dist"] == pytest.approx(want / got["n_pairs"])
