@@ -28,6 +28,8 @@ class ModelSpec:
     grid: list[dict] = field(default_factory=lambda: [{}])
     count_params: Callable = lambda model: None
     description: str = ""
+    #: fit_sums(X'X, X'y, cfg) -> model, with ones before x; such a model is fitted on all rows, from their sums.
+    fit_sums: Callable | None = None
 
 
 _MODELS: dict[str, ModelSpec] = {}
@@ -118,12 +120,16 @@ def _fit_cnn(x, y, xv, yv, cfg, seed):
     return _fit_net(lambda rng, a: network.cnn(rng, a.shape[1], cfg["windows"], cfg), x, y, xv, yv, cfg, seed, _symmetry if cfg.get("augment") else None), cfg
 
 
+def _fit_line_sums(xx, xy, cfg):
+    return np.linalg.solve(xx + cfg.get("ridge", 1e-6) * np.eye(len(xx)), xy)
+
+
 def _fit_line(x, y, xv, yv, cfg, seed):
     a = np.column_stack([np.ones(len(x)), x])
-    return np.linalg.solve(a.T @ a + cfg.get("ridge", 1e-6) * np.eye(a.shape[1]), a.T @ y)
+    return _fit_line_sums(a.T @ a, a.T @ y, cfg)
 
 
-register_model(ModelSpec("line", _fit_line, lambda m, x: m[0] + x @ m[1:], [{"ridge": 1e-6}, {"ridge": 1.0}], len, "least squares with a ridge"))
+register_model(ModelSpec("line", _fit_line, lambda m, x: m[0] + x @ m[1:], [{"ridge": 1e-6}, {"ridge": 1.0}], len, "least squares with a ridge", _fit_line_sums))
 register_model(ModelSpec(
     "mlp", lambda x, y, xv, yv, cfg, seed: _fit_net(lambda rng, a: network.mlp(rng, a.shape[1], cfg), x, y, xv, yv, cfg, seed), _predict_net,
     manual_grid(hidden=[[32], [32, 16]], dropout=[0.0, 0.1]), lambda m: network.count_params(m.net), "layers with batch normalisation and dropout",
@@ -145,45 +151,117 @@ def resumable(todo: DataFrame, done: DataFrame) -> DataFrame:
     return todo.join(done.where("status = 'success'").select("config_id", "cfg", "fold", "seed").distinct(), ["config_id", "cfg", "fold", "seed"], "left_anti")
 
 
-_FITTED = "config_id string, cfg string, fold int, seed int, status string, error string, n_params long, n_train long, sample_id long, obs double, pred double, model binary"
+_UNIT = ["config_id", "cfg", "fold", "seed"]
+_FITTED = "config_id string, cfg string, fold int, seed int, status string, error string, n_params long, n_train long, model binary"
+_SCORED = "config_id string, cfg string, fold int, seed int, status string, error string, n_params long, n_train long, sample_id long, obs double, pred double"
+_FAILURES = (ValueError, ArithmeticError, np.linalg.LinAlgError, KeyError)
 
 
-def fit_units(df: DataFrame, todo: DataFrame, model: str, max_rows: int = 200_000, keep_model: bool = False) -> DataFrame:
-    """df: sample_id, x array<double>, y, fold (that holds the row out). Out-of-fold predictions of each unit, one row a sample.
-
-    A unit fits and validates in one task, on at most max_rows rows (those of least md5 of the id); `predict_units`
-    scores tables of any size with what was fitted. A cfg with `without` fits with that input as 0. A unit that fails gives one row with its error. Rows with null or non-finite inputs take no part.
-    """
-    spec = get_model(model)
+def _usable(df: DataFrame) -> DataFrame:
     ok = df.where(F.col("y").isNotNull() & ~F.isnan("y") & F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))))
-    kept = ok.select("sample_id", "x", "y", F.col("fold").alias("_fold")).orderBy(draw_key(42, "sample_id"), "sample_id").limit(max_rows)
-    rows = kept.crossJoin(F.broadcast(todo))
+    return ok.select("sample_id", "x", "y", F.col("fold").alias("_fold"))
+
+
+def _fitted(spec: ModelSpec, key, fit: Callable, n_train: int) -> dict:
+    """A unit's row: what it is, and the pickled model or the error."""
+    row = dict(zip(_UNIT, key))
+    try:
+        fitted = fit(json.loads(row["cfg"]))
+        return row | {"status": "success", "error": None, "n_params": spec.count_params(fitted), "n_train": n_train, "model": pickle.dumps(fitted)}
+    except _FAILURES as e:
+        return row | {"status": "error", "error": repr(e), "n_params": None, "n_train": None, "model": None}
+
+
+def _from_sums(ok: DataFrame, todo: DataFrame, spec: ModelSpec) -> list[dict]:
+    """Units fitted from the sums of all rows of the other folds; each partition sends one row a fold."""
+
+    def sums(batches):
+        kept: dict = {}
+        for t in batches:
+            t = t.assign(_p=[len(v) for v in t.x])
+            for (fold, p), g in t.groupby(["_fold", "_p"], dropna=False):
+                a, y = np.column_stack([np.ones(len(g)), np.array([np.asarray(v, float) for v in g.x]).reshape(len(g), p)]), g.y.to_numpy(float)
+                k = (None if pd.isna(fold) else int(fold), p)
+                n, xx, xy = kept.get(k, (0, 0.0, 0.0))
+                kept[k] = n + len(g), xx + a.T @ a, xy + a.T @ y
+        for (fold, p), (n, xx, xy) in kept.items():
+            yield pd.DataFrame({"fold": pd.array([fold], "Int32"), "p": [p], "n": [n], "xx": [xx.ravel()], "xy": [xy]})
+
+    got = ok.select("x", "y", "_fold").mapInPandas(sums, "fold int, p int, n long, xx array<double>, xy array<double>").collect()
+    out = []
+    for u in todo.collect() if got else []:
+        others = [r for r in got if r["fold"] != u["fold"]]
+
+        def fit(cfg, others=others):
+            if len({r["p"] for r in got}) != 1:
+                raise ValueError("inputs of different lengths")
+            size = got[0]["p"] + 1
+            xx, xy = (sum((np.array(r[c]) for r in others), np.zeros(n)) for c, n in (("xx", size * size), ("xy", size)))
+            xx = xx.reshape(size, size)
+            if "without" in cfg:
+                at = np.arange(1, size)[cfg.pop("without")]
+                xx[at], xx[:, at], xy[at] = 0.0, 0.0, 0.0
+            return spec.fit_sums(xx, xy, cfg)
+
+        out.append(_fitted(spec, [u[c] for c in _UNIT], fit, sum(r["n"] for r in others)))
+    return out
+
+
+def _from_rows(ok: DataFrame, todo: DataFrame, spec: ModelSpec, max_rows: int) -> list[dict]:
+    """Units fitted in one task each, on a sample of rows."""
+    kept = ok.orderBy(draw_key(42, "sample_id"), "sample_id").limit(max_rows)
 
     def unit(key, t: pd.DataFrame) -> pd.DataFrame:
-        config_id, text, fold, seed = key
-        head = {"config_id": config_id, "cfg": text, "fold": fold, "seed": seed}
-        try:
-            t = t.sort_values("sample_id")
-            x, y, held = np.stack(t.x.to_numpy()).astype(float), t.y.to_numpy(float), (t._fold == fold).to_numpy()
-            cfg = json.loads(text)
+        t = t.sort_values("sample_id")
+        held = (t._fold == key[2]).to_numpy()
+
+        def fit(cfg):
+            x, y = np.stack(t.x.to_numpy()).astype(float), t.y.to_numpy(float)
             if "without" in cfg:
                 x[:, cfg.pop("without")] = 0.0
-            fitted = spec.fit(x[~held], y[~held], x[held], y[held], cfg, int(seed))
-            out = pd.DataFrame({"sample_id": t.sample_id[held], "obs": y[held], "pred": spec.predict(fitted, x[held])})
-            head |= {"status": "success", "error": None, "n_params": spec.count_params(fitted), "n_train": int((~held).sum())}
-            blob = pickle.dumps(fitted) if keep_model else None
-        except (ValueError, ArithmeticError, np.linalg.LinAlgError, KeyError) as e:
-            out, blob = pd.DataFrame({"sample_id": [None], "obs": [None], "pred": [None]}), None
-            head |= {"status": "error", "error": repr(e), "n_params": None, "n_train": None}
-        out = out.assign(**head, model=None)[[c.split()[0] for c in _FITTED.split(", ")]]
-        if blob:
-            out = out.astype({"model": object})
-            out.iat[0, out.columns.get_loc("model")] = blob
-        return out
+            return spec.fit(x[~held], y[~held], x[held], y[held], cfg, int(key[3]))
+
+        return pd.DataFrame([_fitted(spec, key, fit, int((~held).sum()))]).astype({"model": object})
 
     # A stated number of partitions is kept: merged small ones would put many fits into one task.
-    keys = ["config_id", "cfg", "fold", "seed"]
-    return rows.repartition(max(1, todo.count()), *keys).groupBy(*keys).applyInPandas(unit, _FITTED)
+    return [r.asDict() for r in kept.crossJoin(F.broadcast(todo)).repartition(max(1, todo.count()), *_UNIT).groupBy(*_UNIT).applyInPandas(unit, _FITTED).collect()]
+
+
+def fit_models(df: DataFrame, todo: DataFrame, model: str, max_rows: int = 200_000) -> list[dict]:
+    """The fitted model (pickled) or the error of each unit, on the driver; models are small.
+
+    Models with fit_sums are fitted on all rows. Any other unit fits in one task, on at most max_rows rows (those of
+    least md5 of the id), of which those it holds out only tell it when to stop.
+    """
+    spec, ok = get_model(model), _usable(df)
+    return _from_sums(ok, todo, spec) if spec.fit_sums else _from_rows(ok, todo, spec, max_rows)
+
+
+def fit_units(df: DataFrame, todo: DataFrame, model: str, max_rows: int = 200_000) -> DataFrame:
+    """df: sample_id, x array<double>, y, fold (that holds the row out). Out-of-fold predictions of each unit, one row a sample.
+
+    Units are fitted by `fit_models`, when this is called; max_rows bounds the rows of a fit only. Every row that a
+    unit holds out is scored, batch by batch, in any number of tasks. A cfg with `without` fits and scores with that
+    input as 0. A unit that fails gives one row with its error. Rows with null or non-finite inputs take no part.
+    """
+    spec, done, cols = get_model(model), fit_models(df, todo, model, max_rows), [c.split()[0] for c in _SCORED.split(", ")]
+    good = [u for u in done if u["status"] == "success"]
+
+    def run(batches):
+        mine = [(u, json.loads(u["cfg"]), pickle.loads(bytes(u["model"]))) for u in good]
+        for t in batches:
+            for u, cfg, fitted in mine:
+                h = t[(t._fold == u["fold"]).to_numpy()]
+                if len(h):
+                    x = np.stack(h.x.to_numpy()).astype(float)
+                    if "without" in cfg:
+                        x[:, cfg["without"]] = 0.0
+                    out = pd.DataFrame({"sample_id": h.sample_id, "obs": h.y.astype(float), "pred": spec.predict(fitted, x)})
+                    yield out.assign(**{c: u[c] for c in cols if c in u})[cols]
+
+    bad = [tuple(u.get(c) for c in cols) for u in done if u["status"] != "success"]
+    scored = _usable(df).mapInPandas(run, _SCORED)
+    return scored.unionByName(df.sparkSession.createDataFrame(bad, _SCORED)) if bad else scored
 
 
 def unit_scores(fitted: DataFrame) -> DataFrame:
@@ -198,12 +276,10 @@ def unit_scores(fitted: DataFrame) -> DataFrame:
 
 def fit_one(df: DataFrame, model: str, cfg: dict, seed: int = 42, max_rows: int = 200_000):
     """One model of all folds but 0, as an object on the driver; models are small."""
-    spark = df.sparkSession
-    got = fit_units(df, units(spark, [cfg], [0], base_seed=seed), model, max_rows, keep_model=True)
-    row = got.where("model is not null or status = 'error'").select("model", "error").first()
-    if row is None or row["model"] is None:
-        raise ValueError(f"fit failed: {row and row['error']}")
-    return pickle.loads(bytes(row["model"]))
+    got = fit_models(df, units(df.sparkSession, [cfg], [0], base_seed=seed), model, max_rows)
+    if not got or got[0]["model"] is None:
+        raise ValueError(f"fit failed: {got and got[0]['error']}")
+    return pickle.loads(bytes(got[0]["model"]))
 
 
 def predict_units(df: DataFrame, model: str, fitted) -> DataFrame:

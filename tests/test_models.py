@@ -62,6 +62,23 @@ def test_a_failing_unit_is_a_row(spark, table):
     assert [r["status"] for r in got] == ["error"]
 
 
+@pytest.mark.parametrize(("model", "cfg"), [("line", {}), ("mlp", {"hidden": [4], "epochs": 3})])
+def test_a_bounded_fit_scores_every_held_out_row(spark, table, model, cfg):
+    got = models.fit_units(table, models.units(spark, [cfg, cfg | {"without": 1}], [0, 1]), model, max_rows=40).collect()
+    for c in ("cfg_001", "cfg_002"):
+        assert sorted(r["sample_id"] for r in got if r["config_id"] == c) == [i for i in range(80) if i % 4 < 2]
+    assert all(r["status"] == "success" for r in got)
+
+
+def test_a_line_is_fitted_on_all_rows(spark, table):
+    rows = table.collect()
+    a, y, held = np.array([[1.0, *r["x"]] for r in rows]), np.array([r["y"] + r["sample_id"] % 3 for r in rows]), np.array([r["fold"] == 1 for r in rows])
+    df = spark.createDataFrame([(r["sample_id"], r["x"], float(v), r["fold"]) for r, v in zip(rows, y)], table.schema)
+    want = a @ np.linalg.lstsq(a[~held], y[~held], rcond=None)[0]
+    got = models.fit_units(df, models.units(spark, [{"ridge": 0.0}], [1]), "line", max_rows=10).collect()
+    assert len(got) == 20 and all(r["pred"] == pytest.approx(want[r["sample_id"]]) and r["n_train"] == 60 for r in got)
+
+
 def test_tiles_do_not_show(spark):
     cells = spark.createDataFrame([("a", r, c, float(r * 7 + c * c)) for r in range(9) for c in range(7) if (r, c) != (4, 4)], "band string, row int, col int, value double")
     w = np.arange(10) / 10
