@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import only_finite, running_sum
+from ..functions import finite, only_finite, running_sum
 
 INF = float("inf")
+#: CV+ cuts the scores into about so many runs at most, whose bounds every task has.
+RUNS = 1_000_000
 
 
 def _score(difficulty: str | None) -> Column:
@@ -77,13 +83,63 @@ def scaled_interval(df: DataFrame, covariate: str, alpha: float = 0.1, half: Col
 def cv_plus(cal: DataFrame, at: DataFrame, alpha: float = 0.1) -> DataFrame:
     """CV+ intervals. cal: fold, score. at: id and mu, an array of the predictions of fold models 0, 1, ...
 
-    The r-th smallest of mu[fold] + score over all scores, and the mirror image below; infinite if r > n. Scores
-    are binned by nothing: each id meets each score once, and the r-th is taken in the id's own array.
+    The r-th smallest of mu[fold] + score over all scores, and the mirror image below; infinite if r > n, null where
+    mu has no finite prediction of a fold that has scores. Scores are cut by rank into at most about RUNS runs,
+    of one value each if there are no more. Bisection over the bounds and counts of the runs (which all tasks have) finds where the r-th can be, and
+    only the runs there are met by the id and sorted.
     """
-    s = cal.groupBy("fold").agg(F.sort_array(F.collect_list("score")).alias("s"))
-    s = s.agg(F.sort_array(F.collect_list(F.struct("fold", "s"))).alias("f"), F.sum(F.size("s")).alias("n"))
-    x = at.crossJoin(F.broadcast(s))
-    all_ = lambda sign: F.sort_array(F.flatten(F.transform("f", lambda f: F.transform(f["s"], lambda v: F.get("mu", f["fold"]) * sign + v))))
-    r = F.ceil((F.col("n") + 1) * F.lit(1 - alpha)).cast("int")
-    pick = lambda sign: F.when(r <= F.col("n"), F.get(all_(sign), r - 1)).otherwise(INF)
-    return x.select("id", (-pick(-1)).alias("lower"), pick(1).alias("upper"))
+    s = only_finite(cal, "score").groupBy("fold", "score").agg(F.count("*").alias("_m"))
+    cut = max(1, math.ceil(s.count() / RUNS))
+    s = running_sum(s, "score", "_m", "_c", ["fold"]).withColumn("part", F.floor((F.col("_c") - F.col("_m")) / cut))
+    runs = s.groupBy("fold", "part").agg(F.sum("_m").alias("m"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.collect_list(F.struct(F.col("score").alias("v"), F.col("_m").alias("m"))).alias("s"))
+    bounds = runs.select(F.col("fold").cast("int").alias("fold"), "part", "m", "lo", "hi").toArrow().to_pandas().sort_values(["fold", "part"])
+    folds = {int(k): (g.part.to_numpy(), g.lo.to_numpy(), g.hi.to_numpy(), np.concatenate([[0], g.m.to_numpy().cumsum()])) for k, g in bounds.groupby("fold")}
+    n = int(bounds.m.sum())
+    r = math.ceil((n + 1) * (1 - alpha))
+
+    def mus(t: pd.DataFrame) -> np.ndarray:
+        return np.array([[float(m[k]) if m is not None and k < len(m) and m[k] is not None else np.nan for k in folds] for m in t.mu], float).reshape(len(t), len(folds))
+
+    def below(mu: np.ndarray, v: np.ndarray, bound: int, side: str = "right") -> np.ndarray:
+        """For each row and fold, how many runs have that bound under v."""
+        return np.column_stack([np.searchsorted(f[bound], v - mu[:, k], side) for k, f in enumerate(folds.values())])
+
+    def counted(i: np.ndarray) -> np.ndarray:
+        return sum(f[3][i[:, k]] for k, f in enumerate(folds.values()))
+
+    def search(mu: np.ndarray, goal) -> tuple[np.ndarray, np.ndarray]:
+        low, high = (g(np.column_stack([mu[:, k] + f[b][e] for k, f in enumerate(folds.values())]), axis=1) for g, b, e in ((np.min, 1, 0), (np.max, 2, -1)))
+        slack = 1e-12 * (np.abs(mu).max(1) + max(np.abs(f[b]).max() for f in folds.values() for b in (1, 2)))
+        low, high = low - slack, high + slack
+        for _ in range(60):
+            mid = (low + high) / 2
+            up = goal(mu, mid)
+            low, high = np.where(up, low, mid), np.where(up, mid, high)
+        return low - slack, high + slack
+
+    def needs(batches):
+        for t in batches:
+            every = mus(t)
+            ok = np.isfinite(every).all(1)
+            yield pd.DataFrame({"_row": t._row[~ok], "id": t.id[~ok], "sign": 1, "fold": None, "part": None, "shift": None, "rank": None})
+            rows, ids = t._row.to_numpy()[ok], t.id.to_numpy()[ok]
+            for sign in (-1, 1) if len(rows) else ():
+                mu = every[ok] * sign
+                first = below(mu, search(mu, lambda m, v: counted(below(m, v, 1)) >= r)[0], 2, "left")
+                last = below(mu, search(mu, lambda m, v: counted(below(m, v, 2)) >= r)[1], 1)
+                rank = r - counted(first)
+                for k, (fold, f) in enumerate(folds.items()):
+                    size = np.maximum(last[:, k] - first[:, k], 0)
+                    i = np.repeat(np.arange(len(rows)), size)
+                    run = first[i, k] + np.arange(len(i)) - np.repeat(size.cumsum() - size, size)
+                    yield pd.DataFrame({"_row": rows[i], "id": ids[i], "sign": sign, "fold": fold, "part": f[0][run], "shift": mu[i, k], "rank": rank[i]})
+
+    if r > n:
+        whole = F.forall(F.array(*map(F.lit, folds)), lambda k: finite(F.get("mu", k))) if folds else F.lit(True)
+        return at.select("id", F.when(whole, -INF).alias("lower"), F.when(whole, INF).alias("upper"))
+    need = at.select("id", "mu", F.monotonically_increasing_id().alias("_row")).mapInPandas(needs, f"_row long, id {dict(at.dtypes)['id']}, sign int, fold int, part long, shift double, rank long")
+    met = need.join(runs.select(F.col("fold").cast("int").alias("fold"), "part", "s"), ["fold", "part"], "left")
+    met = met.groupBy("_row", "id", "sign", "rank").agg(F.sort_array(F.flatten(F.collect_list(F.expr("transform(s, x -> struct(shift + x.v as v, x.m as m))")))).alias("a"))
+    pick = F.expr("aggregate(a, struct(0L as c, cast(null as double) as q), (z, x) -> struct(z.c + x.m as c, if(z.q is null and z.c + x.m >= rank, x.v, z.q) as q), z -> z.q)")
+    met = met.withColumn("q", pick)
+    return met.groupBy("_row", "id").agg((-F.max(F.when(F.col("sign") < 0, F.col("q")))).alias("lower"), F.max(F.when(F.col("sign") > 0, F.col("q"))).alias("upper")).drop("_row")

@@ -240,7 +240,7 @@ def conformal_scaled_interval(s, d):
 a AS (SELECT vec_id AS id, list_transform([embedding[1], embedding[2], embedding[3], embedding[4], embedding[5]], lambda z: z::DOUBLE * 1000) AS mu FROM embeddings)
 SELECT id, round(-(list_sort(list(-mu[fold + 1] + s))[max(r)]), 6) AS lower, round(list_sort(list(mu[fold + 1] + s))[max(r)], 6) AS upper FROM a, c, n GROUP BY id""")
 def cv_plus_interval(s, d):
-    c = obs(s, d).where("sample_id % 50 < 2").select("fold", F.abs(F.col("obs") - F.col("pred")).alias("score"))
+    c = obs(s, d).select("fold", F.abs(F.col("obs") - F.col("pred")).alias("score"))
     at = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 5), lambda v: v.cast("double") * 1000).alias("mu"))
     return intervals.cv_plus(c, at)
 

@@ -87,6 +87,24 @@ def test_infinite_bounds_cover(spark):
     assert metrics.coverage(df).select(F.col("picp")).first()[0] == 1
 
 
+@pytest.mark.parametrize("runs", [1_000_000, 40])
+def test_cv_plus_takes_all_scores_of_all_folds(spark, monkeypatch, runs):
+    monkeypatch.setattr(intervals, "RUNS", runs)
+    rng = np.random.default_rng(4)
+    score, fold = np.round(rng.gamma(2, 50, 6000), 1), rng.integers(0, 5, 6000)
+    mu = rng.normal(size=(30, 5)) * 200
+    mu[0] = 7.0
+    at = spark.createDataFrame([(i % 29, [float(v) for v in m]) for i, m in enumerate(mu)] + [(40, [1.0, None, 1.0, 1.0, 1.0])], "id long, mu array<double>")
+    cal = spark.createDataFrame(list(zip(fold.tolist(), score.tolist())), "fold int, score double")
+    r = math.ceil(6001 * 0.9) - 1
+    want = sorted((i % 29, -np.sort(-m[fold] + score)[r], np.sort(m[fold] + score)[r]) for i, m in enumerate(mu))
+    got = sorted(map(tuple, intervals.cv_plus(cal, at).where("id < 40").collect()))
+    assert got == want
+    assert tuple(intervals.cv_plus(cal, at).where("id = 40").first())[1:] == (None, None)
+    few = intervals.cv_plus(cal.limit(5), at).where("id = 3").first()
+    assert (few["lower"], few["upper"]) == (-math.inf, math.inf)
+
+
 def test_the_unit_of_dissimilarity_is_of_all_pairs(spark):
     v = np.random.default_rng(5).normal(size=(2300, 3))
     v[2000:] *= 20
