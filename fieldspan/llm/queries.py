@@ -23,11 +23,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(_table(spark, sf_dir, "embeddings"))
+    return top_k(_table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(_table(spark, sf_dir, "documents"))
+    return jaccard_join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "text_id", "n_links")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
