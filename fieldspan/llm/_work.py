@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +19,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 _own: dict[str, str] = {}
-_scopes: dict[str, list[str]] = {}
-_current: list[str] = []
+_scopes: dict[tuple[str, int], list[str]] = {}
+_current = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset: the warehouse, or in local mode a folder of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="fieldspan-")
@@ -36,20 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/fieldspan/{uuid.uuid4().hex}/{name}"
-    if _current:
-        _scopes.setdefault(_current[-1], []).append(path)
+    if getattr(_current, "names", None):
+        _scopes.setdefault((_current.names[-1], threading.get_ident()), []).append(path)
     return path
 
 
-#: Rows of an Arrow batch: whole texts are long, and both sides of the pipe hold a batch of each task.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch: whole texts are long, and both sides of the pipe hold a batch of each task.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Python functions of this session get at most BATCH_ROWS rows at once from now on (Spark's default is 10,000)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Python functions of this session get at most BATCH_ROWS rows or about BATCH_BYTES bytes at once from now on."""
+    conf = "spark.sql.execution.arrow."
+    if not 0 < int(spark.conf.get(conf + "maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set(conf + "maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set(conf + "maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -65,18 +69,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 @contextlib.contextmanager
 def scope(name: str):
-    """Tables kept inside belong to `name`, so that drop_scope(name) can delete them."""
-    _current.append(name)
+    """Tables that this thread keeps inside belong to `name`, so that drop_scope(name) in this thread can delete them."""
+    if not hasattr(_current, "names"):
+        _current.names = []
+    _current.names.append(name)
     try:
         yield
     finally:
-        _current.pop()
+        _current.names.pop()
 
 
 def drop_scope(spark: SparkSession, name: str) -> None:
-    """Delete the tables of a scope. Only for results that have been written elsewhere."""
+    """Delete the tables of a scope of this thread. Only for results that have been written elsewhere."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _scopes.pop(name, []):
+    for path in _scopes.pop((name, threading.get_ident()), []):
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 

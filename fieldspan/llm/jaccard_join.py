@@ -7,15 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._kernels import Hasher, lists, mix, spans, texts
-from ._work import BROADCAST_ROWS, keep
+from ._work import keep, small
 from .components import components
 
 #: Documents, and n-grams, of a block: what one task holds twice.
-BLOCK_DOCS, BLOCK_GRAMS = 1024, 1 << 20
+BLOCK_DOCS, BLOCK_GRAMS = 1024, 1 << 19
 
 
 def bands_for(threshold: float = 0.8, recall: float = 0.999, most: int = 360) -> tuple[int, int]:
@@ -112,12 +112,12 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, group: n
 
 def _verify(threshold: float):
     def of(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
+        ids = table.column("node").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         group, block = table.column("_root").to_numpy()[order], table.column("_block").to_numpy()[order]
-        raw = table.column("_grams").to_pylist()
-        sets = [np.frombuffer(raw[i], np.uint64) for i in order]
+        views = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in table.column("_grams").chunks for x in chunk]
+        sets = [views[i] for i in order]
         i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
         left = np.flatnonzero(block == i)
         right = left if i == j else np.flatnonzero(block == j)
@@ -139,17 +139,21 @@ def _verify(threshold: float):
                     if x != y:
                         root[max(x, y)] = min(x, y)
         top = ids[[find(x) for x in range(len(ids))]] if len(ids) else ids
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_links": pa.array(links), "top": pa.array(top, pa.int64())})
+        return pa.table({"node": pa.array(ids, pa.int64()), "n_links": pa.array(links), "top": pa.array(top, pa.int64())})
 
     return of
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """Links between documents whose sets of word n-grams have a Jaccard similarity of at least threshold.
 
     docs has doc_id and text. Returns one row for each row of docs: doc_id, class_id (smallest doc_id of all
     documents linked to it directly or through others, equal texts included), text_id (smallest doc_id with
-    the same text) and n_links (number of different texts that are linked to it directly).
+    the same text), n_links (number of different texts that are linked to it directly) and text_md5.
 
     Bands and rows are chosen for the recall wanted at the threshold. Band hashes are shuffled once for each
     different text. Texts that share a band hash with the smallest text of that band are joined to one
@@ -159,51 +163,64 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
 
     A text of fewer than n words has one n-gram, all its words. Texts without words (null, empty) are linked to
     nothing but their equals; a null text equals only itself. Rows with a null doc_id are returned without class
-    or links. Repeated rows get equal results. An empty table gives an empty result. Other columns are ignored.
+    or links. Repeated rows get equal results; rows that share a doc_id but not the text are documents of their
+    own, each in the class of its text. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     bands, rows = bands_for(threshold, recall)
     sign = F.arrow_udf(_sign(n, bands, rows), "keys array<long>, n_grams long")
-    signed = docs.select("doc_id", F.unhex(F.md5("text")).alias("_t"), sign("text").alias("_s")).select("doc_id", "_t", "_s.*")
+    signed = docs.select("doc_id", _digest("text").alias("_t"), sign("text").alias("_s")).select("doc_id", "_t", "_s.*")
     signed = keep(signed, "join_signatures")
-    first = keep(signed.where("doc_id is not null and _t is not null").groupBy("_t").agg(F.min("doc_id").alias("_rep")), "join_first")
-    reps = signed.join(first, (signed["_t"] == first["_t"]) & (signed["doc_id"] == first["_rep"]), "left_semi").dropDuplicates(["doc_id", "_t"])
+    # A text is the node of its smallest doc_id, unless that has a smaller text too: then of a negative number of its own.
+    first = signed.where("doc_id is not null and _t is not null").groupBy("_t").agg(F.min("doc_id").alias("_rep"))
+    first = keep(first, "join_first")
+    again = first.groupBy("_rep").agg(F.min("_t").alias("_least"), F.count("*").alias("_n")).where("_n > 1").select(F.col("_rep").alias("_r"), "_least")
+    again = keep(again, "join_again")
+    if again.limit(1).count():
+        other = F.col("_least").isNotNull() & (F.col("_t") != F.col("_least"))
+        own = -F.shiftrightunsigned(F.xxhash64("_t", "_rep"), 1) - 1
+        first = keep(first.join(again, F.col("_rep") == F.col("_r"), "left").select("_t", "_rep", F.when(other, own).otherwise(F.col("_rep")).alias("node")), "join_nodes")
+    else:
+        first = first.withColumn("node", F.col("_rep"))
+    reps = signed.join(first.withColumnRenamed("_t", "_ft"), (F.col("_t") == F.col("_ft")) & (F.col("doc_id") == F.col("_rep"))).select("doc_id", "_t", "node", "keys", "n_grams")
+    # Repeated rows: a node is one text, so any of them will do, and their number is that of the rows.
+    reps = reps.dropDuplicates(["node"])
 
     # Bands with two texts at least; each of these texts is tied to the smallest.
-    keyed = reps.select("doc_id", F.explode("keys").alias("_k"))
-    shared = keep(keyed.groupBy("_k").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("_hi")).where("v <> _hi").select("_k", "v"), "join_bands")
-    edges = keyed.join(shared, "_k").select(F.col("doc_id").alias("u"), "v").where("u <> v")
+    keyed = reps.select("node", F.explode("keys").alias("_k"))
+    shared = keep(keyed.groupBy("_k").agg(F.min("node").alias("v"), F.max("node").alias("_hi")).where("v <> _hi").select("_k", "v"), "join_bands")
+    edges = keyed.join(shared, "_k").select(F.col("node").alias("u"), "v").where("u <> v")
     groups = keep(components(edges), "join_groups")
 
     # Blocks of each group, by documents and by n-grams; groups of one block share tasks.
-    size = reps.select("doc_id", "n_grams").join(groups, F.col("doc_id") == F.col("node"))
-    total = size.groupBy("root").agg(F.count("*").alias("_n"), F.sum("n_grams").alias("_g"), F.max("n_grams").alias("_m"))
+    size = reps.select("doc_id", "_t", F.col("node").alias("_node"), "n_grams").join(groups, F.col("_node") == F.col("node"))
+    total = size.groupBy("root").agg(F.count("*").alias("_n"), F.sum("n_grams").alias("_g"))
     need = F.greatest(F.ceil(F.col("_n") / BLOCK_DOCS), F.ceil(F.col("_g") / BLOCK_GRAMS)).cast("int")
-    total = total.withColumn("_blocks", need)
-    plan = keep(groups.join(total.select("root", "_blocks", "_g"), "root").select(F.col("node").alias("doc_id"), F.col("root").alias("_root"), "_blocks", "_g"), "join_plan")
-    sums = plan.where("_blocks = 1 and doc_id = _root").agg(F.sum("_g").alias("g"), F.count("*").alias("c")).first()
+    total = total.select(F.col("root").alias("_root"), need.alias("_blocks"), "_g")
+    plan = keep(size.join(total, F.col("root") == F.col("_root")).select("node", F.col("doc_id").alias("_id"), F.col("_t").alias("_it"), "_root", "_blocks", "_g"), "join_plan")
+    sums = plan.where("_blocks = 1 and node = _root").agg(F.sum("_g").alias("g"), F.count("*").alias("c")).first()
     bins = max(1, -(-(sums["g"] or 0) // (BLOCK_GRAMS // 4)), (sums["c"] or 0) // (BLOCK_DOCS // 2))
     single = F.col("_blocks") == 1
-    plan = plan.withColumn("_block", F.when(single, 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("_blocks"))).cast("int"))
-    plan = plan.withColumn("_bin", F.when(single, F.pmod(F.xxhash64("_root"), F.lit(bins))).otherwise(-1 - F.col("_root")).cast("long"))
-
-    # The texts, once to each block pair of their group.
-    ids = plan.select(F.col("doc_id").alias("_id"))
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    source = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    source = source.withColumn("_t", F.unhex(F.md5("text"))).join(reps.select("doc_id", "_t"), ["doc_id", "_t"], "left_semi")
+    plan = plan.withColumn("_block", F.when(single, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("_blocks"))).cast("int"))
+    plan = plan.withColumn("_bin", F.when(single, F.pmod(F.xxhash64("_root"), F.lit(bins))).otherwise(-1 - F.xxhash64("_root")).cast("long")).drop("_g")
+
+    # The n-gram sets of these texts, once to each block pair of their group.
+    source = docs.select("doc_id", "text").join(small(plan.select("_id", "_it")), (F.col("doc_id") == F.col("_id")) & (_digest("text") == F.col("_it")), "left_semi")
     grams = F.arrow_udf(_gram_bytes(n), "binary")
-    grammed = source.select("doc_id", grams("text").alias("_grams")).dropDuplicates(["doc_id"])
-    cells = grammed.join(plan, "doc_id").withColumn("_o", F.explode(F.expr("sequence(0, _blocks - 1)")))
-    cells = cells.withColumn("_i", F.least("_block", "_o")).withColumn("_j", F.greatest("_block", "_o")).drop("_o", "_blocks", "_g")
-    found = cells.groupBy("_bin", "_i", "_j").applyInArrow(_verify(threshold), "doc_id long, n_links long, top long")
+    grammed = source.select("doc_id", _digest("text").alias("_t"), grams("text").alias("_grams")).dropDuplicates(["doc_id", "_t"])
+    cells = grammed.join(plan, (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_it"))).withColumn("_o", F.explode(F.expr("sequence(0, _blocks - 1)")))
+    cells = cells.select("node", "_grams", "_root", "_block", "_bin", F.least("_block", "_o").alias("_i"), F.greatest("_block", "_o").alias("_j"))
+    found = cells.groupBy("_bin", "_i", "_j").applyInArrow(_verify(threshold), "node long, n_links long, top long")
     found = keep(found, "join_found")
-    linked = keep(components(found.select(F.col("doc_id").alias("u"), F.col("top").alias("v"))), "join_classes")
-    counts = found.groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
-
-    facts = first.join(linked, F.col("_rep") == F.col("node"), "left").join(counts, F.col("_rep") == F.col("doc_id"), "left").select(
-        F.col("_t").alias("_ft"), "_rep", F.coalesce("root", "_rep").alias("_class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
-    )
+    linked = keep(components(found.select(F.col("node").alias("u"), F.col("top").alias("v"))), "join_classes")
+    counts = found.groupBy(F.col("node").alias("_cn")).agg(F.sum("n_links").alias("n_links"))
+
+    # The class of a text is the smallest doc_id of its texts.
+    named = first.join(linked.withColumnRenamed("node", "_ln"), F.col("node") == F.col("_ln"), "left").join(counts, F.col("node") == F.col("_cn"), "left")
+    named = named.select("_t", "_rep", F.coalesce("root", "node").alias("_root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    named = keep(named, "join_named")
+    least = named.groupBy(F.col("_root").alias("_lr")).agg(F.min("_rep").alias("_class"), F.count("*").alias("_n")).where("_n > 1")
+    facts = named.join(least, F.col("_root") == F.col("_lr"), "left").select(F.col("_t").alias("_ft"), "_rep", F.coalesce("_class", "_rep").alias("_class"), "n_links")
     out = signed.select("doc_id", "_t").join(keep(facts, "join_facts"), F.col("_t") == F.col("_ft"), "left")
     known = F.col("doc_id").isNotNull()
     return out.select(
@@ -211,4 +228,29 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
         F.when(known, F.coalesce("_class", "doc_id")).alias("class_id"),
         F.when(known, F.coalesce("_rep", "doc_id")).alias("text_id"),
         F.when(known, F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links"),
+        F.lower(F.hex("_t")).alias("text_md5"),
     )
+
+
+def without_copies(docs: DataFrame, **join: float) -> DataFrame:
+    """docs with one row of each class of jaccard_join: of the smallest doc_id, and of its texts in the class the one of least digest.
+
+    Rows that repeat doc_id and text are one document: one of them stays. Rows with a null doc_id or a null text stay,
+    all of them. Rows are told apart by doc_id and text, so a text is never lost because another row has its doc_id.
+    """
+    classes = keep(jaccard_join(docs, **join).where("doc_id is not null and text_md5 is not null").groupBy("doc_id", "text_md5", "class_id").agg(F.count("*").alias("_n")), "copies")
+    own = classes.where("doc_id = class_id").groupBy("class_id").agg(F.min("text_md5").alias("_stays"))
+    own = keep(own.select(F.col("class_id").alias("_c"), "_stays"), "copies_first")
+    judged = classes.join(own, F.col("class_id") == F.col("_c"), "left")
+    stays = (F.col("doc_id") == F.col("class_id")) & (F.col("text_md5") == F.col("_stays"))
+    judged = judged.select(F.col("doc_id").alias("_id"), F.unhex("text_md5").alias("_it"), stays.alias("_one"), "_n").where("not _one or _n > 1")
+    judged = keep(judged, "copies_judged")
+    # Rows go through as one struct, so that no column of theirs can clash.
+    packed = docs.select(F.struct("*").alias("_all"))
+    same = (F.col("_all.doc_id") == F.col("_id")) & (_digest("_all.text") == F.col("_it"))
+    rest = packed.join(small(judged.select("_id", "_it")), same, "left_anti").select("_all.*")
+    repeated = judged.where("_one").select("_id", "_it")
+    if not repeated.limit(1).count():
+        return rest
+    once = packed.join(small(repeated), same, "left_semi").select("_all", F.col("_all.doc_id").alias("_id"), _digest("_all.text").alias("_it"))
+    return rest.unionByName(once.dropDuplicates(["_id", "_it"]).select("_all.*"))
