@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspan.llm import _work
-from fieldspan.llm.jaccard_join import jaccard_join
+from fieldspan.llm.jaccard_join import without_copies
 from fieldspan.llm.mixing import mixed
 from fieldspan.llm.packing import best_fit
 from fieldspan.llm.quality import with_quality
@@ -40,10 +40,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near duplicates (once, if it is repeated); rows without a doc_id stay."""
-    classes = jaccard_join(docs).where("doc_id > class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(_work.small(_work.keep(classes, "pipeline_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left
+    """One document of each group of near duplicates, that of smallest doc_id; repeated rows are one document. Rows without a doc_id or a text stay."""
+    return without_copies(docs)
 
 
 @_stage
