@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from fieldspan.llm import queries
 from fieldspan.llm.components import components
 from fieldspan.llm.cws import fingerprints
 from fieldspan.llm.jaccard_join import bands_for, jaccard_join, without_copies
-from fieldspan.llm.langid import predict_language
+from fieldspan.llm.langid import _count, code_lengths, context_trees, finders, predict_language
 from fieldspan.llm.licenses import license_scan
 from fieldspan.llm.mixing import mix, mixed
 from fieldspan.llm.packing import best_fit, pack
@@ -173,6 +174,41 @@ def test_language_of_held_out_documents(spark, sf_dir):
     assert got and sum(r.lang_pred == lang[r.doc_id] for r in got) >= 0.95 * len(got)
 
 
+def plain_bits(learned, text):
+    """Code length of a text under counts of the learned texts, straight from the definition."""
+    counts = collections.defaultdict(collections.Counter)
+    for t in learned:
+        b = b"   " + t.encode()
+        for i in range(3, len(b)):
+            for k in range(4):
+                counts[b[i - k : i]][b[i]] += 1
+
+    def p(ctx, x):
+        up = (lambda y: 1 / 256) if not ctx else (lambda y: p(ctx[1:], y))
+        seen = counts.get(ctx)
+        if not seen:
+            return up(x)
+        whole = sum(seen.values()) + len(seen)
+        return seen[x] / whole if x in seen else up(x) * len(seen) / whole / (1 - sum(up(y) for y in seen))
+
+    b = b"   " + text.encode()
+    return -sum(np.log2(p(b[i - 3 : i], b[i])) for i in range(3, len(b)))
+
+
+def test_code_lengths_equal_the_definition(spark):
+    learned = {"aa": ["ab abba baab", "abab"], "bb": ["xyz yxz", "zzz äy"], "cc": ["ab xyz"]}
+    rows = [(l, t) for l, ts in learned.items() for t in ts]
+    batch = pa.RecordBatch.from_pydict({"lang": [l for l, _ in rows], "text": [t for _, t in rows]})
+    got = pa.Table.from_batches(_count([batch])).to_pandas().groupby(["lang", "code"], as_index=False).n.sum()
+    langs = sorted(learned)
+    trees = context_trees(langs, got.lang.map(langs.index).to_numpy(), got.code.to_numpy(), got.n.to_numpy())
+    texts = ["abba", "xyz", "", "quite else", "ä", "ab zz"]
+    buf, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts])
+    want = [[plain_bits(learned[l], t) for l in langs] for t in texts]
+    assert np.allclose(code_lengths(trees, buf, off), want, rtol=1e-5)
+    assert np.allclose(code_lengths(trees, buf, off, finders(trees)), want, rtol=1e-5)
+
+
 def test_language_without_letters(rows):
     got = {r.doc_id: r for r in predict_language(rows).collect()}
     assert all((got[i].lang_pred, got[i].score) == ("und", 0) for i in (3, 4, 5, 11))
