@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernels import Hasher, mix, texts
+from ._kernels import Hasher, texts
+from ._work import keep
 
-#: Labelled and unlabelled documents to fit on; rounds; pseudo-labels a view gives in a round; confidence they need.
-LABELLED, POOL, ROUNDS, GIVEN, SURE = 4000, 3000, 4, 200, 0.97
+#: Labelled documents to fit on; rounds; pseudo-labels a view gives in a round; confidence they need.
+LABELLED, ROUNDS, GIVEN, SURE = 4000, 4, 200, 0.97
 TRIGRAMS, META = 512, 128
 #: Costs of losing a good document, where letting a bad one pass costs 1.
 COST = 10.0
@@ -108,99 +111,146 @@ def _p(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, part: np.ndarray, rounds: int = ROUNDS) -> CoTrained | None:
-    """Fit both views. y: 1, 0, or -1 for the pool; part: 0 to train on, 1 to calibrate on. None without both labels in each part.
+def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, part: np.ndarray, surest: Callable, rounds: int = ROUNDS) -> CoTrained | None:
+    """Fit both views. y: 1 or 0; part: 0 to calibrate the views on, 1 to join them and choose the cut on, else to train on.
 
-    In a round each view labels the documents of the pool it is surest of, in the proportion of the classes,
-    and the other view learns from them as well, at half the weight of given labels. Calibration and the
-    joint weights come from documents that neither view has learned from.
+    In a round each view labels the unlabelled documents it is surest of, in the proportion of the classes, and the other
+    view learns from them as well, at half the weight of given labels. surest(step, model, low, high) gives for each view
+    the features and labels of its `low` surest bad and `high` surest good documents of that round.
+    None without both labels to train and to calibrate on; parts 0 and 1 stand in for each other if one lacks a label.
     """
-    train, held, pool = (y >= 0) & (part == 0), (y >= 0) & (part == 1), np.flatnonzero(y < 0)
-    if any(len(set(y[x])) < 2 for x in (train, held)):
+    train, sets = part > 1, [part == 0, part == 1]
+    both = part <= 1
+    if any(len(set(y[x])) < 2 for x in (train, both)):
         return None
+    calibrate, choose = (x if len(set(y[x])) == 2 else both for x in sets)
     mean, scale = t[train].mean(0), t[train].std(0) + 1e-3
-    views = [(t - mean) / scale, m]
-    ridge = (1e-3, 1e-2)
-    given: list[dict[int, int]] = [{}, {}]
-    share = y[train].mean()
-    weights = [None, None]
-    for step in range(rounds + 1):
-        for k, x in enumerate(views):
-            extra = given[k]
-            at = np.concatenate([np.flatnonzero(train), np.fromiter(extra, np.int64, len(extra))])
-            label = np.concatenate([y[train], np.fromiter(extra.values(), np.int64, len(extra))])
-            weights[k] = fit(x[at], label, np.where(np.arange(len(at)) < train.sum(), 1.0, 0.5), ridge[k])
-        if step == rounds:
-            break
+    split = lambda t, m: ((t - mean) / scale, m)
+    views, ridge, share = split(t, m), (1e-3, 1e-2), y[train].mean()
+    given: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+
+    def fitted() -> CoTrained:
+        weights, lines = [], []
         for k, x in enumerate(views):
-            z = x @ weights[k][:-1] + weights[k][-1]
-            line = fit(z[held, None], y[held], np.ones(held.sum()), 1e-4)
-            p = _p(_line(z[pool], line))
-            order = np.argsort(p, kind="stable")
-            low = [i for i in order[: int(GIVEN * (1 - share))] if p[i] <= 1 - SURE]
-            high = [i for i in order[::-1][: int(GIVEN * share)] if p[i] >= SURE]
-            for i, v in [(i, 0) for i in low] + [(i, 1) for i in high]:
-                given[1 - k].setdefault(int(pool[i]), v)
-    lines, logits = [], []
-    for k, x in enumerate(views):
-        z = x[held] @ weights[k][:-1] + weights[k][-1]
-        lines.append(fit(z[:, None], y[held], np.ones(len(z)), 1e-4))
-        logits.append(_line(z, lines[-1]))
-    joint = fit(np.stack(logits, 1), y[held], np.ones(held.sum()), 1e-3)
-    model = CoTrained(mean, scale, weights[0], weights[1], lines[0], lines[1], joint, 0.5)
-    score = model.views(t[held], m[held])[2]
-    good = y[held] == 1
+            more, labels = [g for g, _ in given[k]], [v for _, v in given[k]]
+            n = sum(map(len, labels))
+            weights.append(fit(np.concatenate([x[train], *more]), np.concatenate([y[train], *labels]), np.repeat([1.0, 0.5], [train.sum(), n]), ridge[k]))
+            z = x[calibrate] @ weights[k][:-1] + weights[k][-1]
+            lines.append(fit(z[:, None], y[calibrate], np.ones(len(z)), 1e-4))
+        return CoTrained(mean, scale, *weights, *lines, np.array([0.5, 0.5, 0.0]), 0.5)
+
+    for step in range(rounds):
+        for k, (more_t, more_m, label) in enumerate(surest(step, fitted(), int(GIVEN * (1 - share)), int(GIVEN * share))):
+            if len(label):
+                given[1 - k].append((split(more_t, more_m)[1 - k], label))
+    model = fitted()
+    logits = [np.log(p / (1 - p)) for p in model.views(t[choose], m[choose])[:2]]
+    model.joint = fit(np.stack(logits, 1), y[choose], np.ones(choose.sum()), 1e-3)
+    score = model.views(t[choose], m[choose])[2]
+    good = y[choose] == 1
     cuts = np.unique(np.concatenate([[0.0], (np.sort(score)[1:] + np.sort(score)[:-1]) / 2]))
     lost = [(score[good] < c).sum() * COST + (score[~good] >= c).sum() for c in cuts]
     model.threshold = float(cuts[int(np.argmin(lost))])
     return model
 
 
+def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return text_view(batch.column("text")), meta_view(batch.column("lang"), batch.column("source"), batch.column("n_chars"))
+
+
 def _features(batches):
     for b in batches:
-        t, m = text_view(b.column("text")), meta_view(b.column("lang"), b.column("source"), b.column("n_chars"))
-        rows = [x.tobytes() for x in np.hstack([t, m])]
-        yield pa.RecordBatch.from_pydict({"y": b.column("_y"), "part": b.column("_part"), "doc_id": b.column("doc_id"), "x": pa.array(rows, pa.binary())})
+        rows = [x.tobytes() for x in np.hstack(_views(b))]
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "x": pa.array(rows, pa.binary())})
+
+
+def _gather(docs: DataFrame, ids: DataFrame) -> dict[int, np.ndarray]:
+    """Features of the documents of a bounded list of ids, on the driver. Of rows that share an id the least counts."""
+    some = docs.join(F.broadcast(ids.select(F.col("doc_id").alias("_id"))), F.col("doc_id") == F.col("_id"))
+    some = some.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("_r")).select("doc_id", "_r.*")
+    got = some.mapInArrow(_features, "doc_id long, x binary").collect()
+    return {r.doc_id: np.frombuffer(r.x, np.float32) for r in got}
 
 
-def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained | None:
-    """Fit on at most `labelled` documents with a quality label and `pool` without, the first by a hash of doc_id."""
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cut = _SHAPE + TRIGRAMS
+    return x[:, :cut], x[:, cut:]
+
+
+def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained | None:
+    """Fit on at most `labelled` documents with a quality label, the first by a hash of doc_id, and on all without.
+
+    Unlabelled documents are dealt to the rounds by a hash, so that the rounds together look at every one of them: each
+    document of the round is scored by both views, and the surest of each view and class are taken (a bounded top-k).
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).where("doc_id is not null")
     label = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_l")).agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(label, F.col("doc_id") == F.col("_l"), "left")
-    order = F.xxhash64("doc_id", F.lit(3))
-    some = ids.where("_y is not null").orderBy(order).limit(labelled).union(ids.where("_y is null").orderBy(order).limit(pool))
-    some = some.select(F.col("doc_id").alias("_id"), F.coalesce("_y", F.lit(-1)).alias("_y"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) == 0).cast("int").alias("_part"))
-    rows = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
-    got = rows.mapInArrow(_features, "y int, part int, doc_id long, x binary").orderBy("doc_id", "x").toPandas()
-    if not len(got):
+    label = keep(label, "quality_labels")
+    some = label.join(docs.select("doc_id"), F.col("doc_id") == F.col("_l"), "left_semi").orderBy(F.xxhash64("_l", F.lit(3)), "_l").limit(labelled)
+    some = some.select(F.col("_l").alias("doc_id"), "_y", F.pmod(F.xxhash64("_l", F.lit(5)), F.lit(6)).cast("int").alias("_part"))
+    known = sorted(some.collect())
+    if not known:
         return None
-    x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]])
-    cut = _SHAPE + TRIGRAMS
-    return co_train(x[:, :cut], x[:, cut:], got["y"].to_numpy(), got["part"].to_numpy(), rounds)
+    features = _gather(docs, spark.createDataFrame([(r.doc_id,) for r in known], "doc_id long"))
+    x = np.stack([features[r.doc_id] for r in known])
+
+    def surest(step: int, model: CoTrained, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        shared = spark.sparkContext.broadcast(vars(model))
+
+        def score(batches):
+            now = CoTrained(**shared.value)
+            for b in batches:
+                p = now.views(*_views(b))
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "p0": p[0].astype(np.float64), "p1": p[1].astype(np.float64)})
+
+        mine = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)) == step)
+        scored = mine.mapInArrow(score, "doc_id long, p0 double, p1 double")
+        scored = keep(scored.where(f"least(p0, p1) <= {1 - SURE} or greatest(p0, p1) >= {SURE}"), "quality_scored")
+        scored = scored.join(label.select("_l"), F.col("doc_id") == F.col("_l"), "left_anti").groupBy("doc_id").agg(F.min("p0").alias("p0"), F.min("p1").alias("p1"))
+        scored = keep(scored, "quality_unlabelled")
+        tie = F.xxhash64("doc_id", F.lit(11))
+        top = [
+            scored.where(p <= 1 - SURE if not good else p >= SURE).orderBy(p.desc() if good else p, tie, "doc_id").limit(n).select("doc_id", F.lit(k).alias("k"), F.lit(good).alias("good"))
+            for k, p in enumerate((F.col("p0"), F.col("p1"))) for good, n in ((0, low), (1, high))
+        ]
+        picked = sorted((r.k, r.doc_id, r.good) for r in functools.reduce(DataFrame.union, top).collect())
+        got = _gather(docs, spark.createDataFrame([(i,) for i in sorted({i for _, i, _ in picked})], "doc_id long")) if picked else {}
+        out = []
+        for k in (0, 1):
+            ids, v = [i for j, i, _ in picked if j == k], [g for j, _, g in picked if j == k]
+            out.append((*_halves(np.stack([got[i] for i in ids]) if ids else np.zeros((0, x.shape[1]), np.float32)), np.array(v, np.int64)))
+        return out
+
+    return co_train(*_halves(x), np.array([r._y for r in known]), np.array([r._part for r in known]), surest, rounds)
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, out: str = "quality_view", **sizes: int) -> DataFrame:
     """docs with a struct column `out`: text_score, meta_score, score and keep.
 
     docs has doc_id, text, lang, source and n_chars; labels has doc_id and quality (0 or 1). Two logistic
-    regressions, one of the text's bytes and words, one of language, source and size, are co-trained on bounded
-    samples (parameters labelled, pool and rounds), calibrated on labelled documents set aside, and joined. Every
-    document's whole text is scored. keep is false where the score is below the cut that cost least on the
-    documents set aside, a lost good document counting as ten bad ones kept.
+    regressions, one of the text's bytes and words, one of language, source and size, are co-trained: fitted on a
+    bounded sample of labelled documents (parameter labelled), and in each round (parameter rounds) on the documents of
+    the other view's surest verdicts, which are looked for among all unlabelled documents. Some labelled documents are
+    set aside to calibrate the views, others to join them. Every document's whole text is scored. keep is false where
+    the score is below the cut that cost least on the latter, a lost good document counting as ten bad ones kept.
 
     Null text is empty and scored as such; nulls of metadata are values of their own. Without labels of both kinds
     all documents are kept, with score 1. Labels that disagree are averaged. Repeated rows get equal results. An
     empty table gives an empty result. Other columns pass through.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, **sizes))
+    learned = learn(docs, labels, **sizes)
+    model = docs.sparkSession.sparkContext.broadcast(learned and vars(learned))
 
     def of(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
         n = len(text)
         got = [np.ones(n)] * 3
         keep = np.ones(n, bool)
         if model.value is not None and n:
-            got = model.value.views(text_view(text), meta_view(lang, source, n_chars))
-            keep = got[2] >= model.value.threshold
+            joint = CoTrained(**model.value)
+            # Rounded, so that equal rows have equal scores wherever they stand in a batch.
+            got = [np.round(x, 9) for x in joint.views(text_view(text), meta_view(lang, source, n_chars))]
+            keep = got[2] >= joint.threshold
         return pa.StructArray.from_arrays([pa.array(np.asarray(x, np.float64)) for x in got] + [pa.array(keep)], ["text_score", "meta_score", "score", "keep"])
 
     score = F.arrow_udf(of, "text_score double, meta_score double, score double, keep boolean")

@@ -319,6 +319,25 @@ def test_quality_of_labelled_documents(spark, sf_dir):
     assert sum(not k for k, q in got if q) <= 0.03 * sum(q for _, q in got)
 
 
+def test_quality_of_documents_whose_labels_are_hidden(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    hidden = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(3)) == 0
+    truth = {r.doc_id: r.quality for r in labels.where(hidden).collect()}
+    got = [(r.quality_view.keep, r.quality_view.score, truth[r.doc_id]) for r in with_quality(docs, labels.where(~hidden)).collect() if r.doc_id in truth]
+    assert len(got) > 50 and sum(k == bool(q) for k, _, q in got) >= 0.95 * len(got)
+    assert sum(not k for k, _, q in got if q) <= 0.03 * sum(q for _, _, q in got)
+
+
+def test_quality_of_odd_rows_with_both_labels(rows):
+    labels = rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).when(F.col("doc_id") % 7 == 1, None).otherwise(0).alias("quality"))
+    got = with_quality(rows.union(rows.where("doc_id < 3")), labels).collect()
+    assert len(got) == rows.count() + 4 and all(0 <= r.quality_view.score <= 1 and r.size == r["size"] for r in got)
+    same = collections.defaultdict(set)
+    for r in got:
+        same[r.doc_id, r.text, r.n_chars].add(r.quality_view)
+    assert all(len(v) == 1 for v in same.values())
+
+
 def test_pipeline_stages_follow_each_other(spark, sf_dir):
     import corpus_pipeline as cp
 
