@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Tokens: ASCII letters and digits, and everything beyond ASCII.
@@ -32,16 +32,39 @@ TEMPLATES = (
 )
 
 
-def template_grams(spark, phrases=PHRASES, templates=TEMPLATES, k: int = 4) -> DataFrame:
-    """A row for each rolling gram of each phrase and template: min(k, its words) words, and its position."""
+#: Hash flags that tell which words and grams can be in a template: 64 flags to a long.
+FLAG_LONGS = 256
+
+
+def _rolling(hashes: str, at: str, n: int) -> str:
+    """SQL of the hash of the n words from a place on, from the hashes of single words."""
+    return "xxhash64(" + ", ".join(f"get({hashes}, {at} + {j})" for j in range(n)) + ")"
+
+
+def template_grams(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES, k: int = 4) -> DataFrame:
+    """A row for each rolling gram of each phrase and template: min(k, its words) words, its position, and its hash."""
     rows = []
     for t, (text, label, base) in enumerate([(p, lab, True) for p, lab in phrases] + [(x, lab, False) for lab, x in templates]):
         words = text.split()
         n = min(k, len(words))
-        rows += [(t, label, base, len(words) - n + 1, len(words), i, " ".join(words[i : i + n])) for i in range(len(words) - n + 1)]
-    table = spark.createDataFrame(rows, "tid int, label string, base boolean, grams int, words int, tpos int, gram string")
-    two = F.substring_index("gram", " ", 2)
-    return table.withColumn("head", F.xxhash64(two)).withColumn("size", F.size(F.split("gram", " ")))
+        rows += [(t, label, base, len(words) - n + 1, len(words), n, i, " ".join(words[i : i + n])) for i in range(len(words) - n + 1)]
+    table = spark.createDataFrame(rows, "tid int, label string, base boolean, grams int, words int, size int, tpos int, gram string")
+    table = table.withColumn("_g", F.expr("transform(split(gram, ' '), x -> xxhash64(x))"))
+    sizes = sorted({r[5] for r in rows})
+    code = " ".join(f"when {n} then {_rolling('_g', '0', n)}" for n in sizes)
+    return table.withColumn("first", F.expr("get(_g, 0)")).withColumn("code", F.expr(f"case size {code} end")).drop("_g")
+
+
+def _flags(codes: set[int]) -> str:
+    """SQL of an array of longs with a bit for the low bits of each code."""
+    longs = [0] * FLAG_LONGS
+    for x in codes:
+        longs[(x >> 6) & (FLAG_LONGS - 1)] |= 1 << (x & 63)
+    return "array(" + ", ".join(f"{x - (1 << 64) if x >> 63 else x}L" if x != 1 << 63 else "(-9223372036854775807L - 1L)" for x in longs) + ")"
+
+
+def _flagged(flags: str, x: str) -> str:
+    return f"(shiftrightunsigned(get({flags}, cast(shiftright({x}, 6) & {FLAG_LONGS - 1} as int)), cast({x} & 63 as int)) & 1) = 1"
 
 
 def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, share: float = 0.8, slack: int = 2, k: int = 4) -> DataFrame:
@@ -50,13 +73,14 @@ def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, share: f
     docs has doc_id and text. Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
     score, one row for each row of docs.
 
-    Every position's rolling gram (its first two words by hash, then all k words by value) is joined to the
-    positions of all phrases and templates, a list of a few hundred rows that is broadcast. A match votes
-    for the diagonal (document position less template position). A phrase stands where all its grams vote
-    on one diagonal. For templates, diagonals at most `slack` apart are merged, so that a word put in or
-    left out does not end a span; a span counts if distinct template positions of at least `share` of the
-    template voted and it is at most half as long again as the template. As each vote compares words, not
-    hashes, what is counted is verified. score is the largest share of any span, 1 for a phrase.
+    The hash of every position's rolling gram, all its k words, is joined to the positions of all phrases and
+    templates, a list of a few hundred rows that is broadcast; a phrase of fewer words is a gram of its own. Flags of
+    the hashes in that list leave out positions that cannot match before they become rows. A match whose words are
+    those of the gram, which tells chance matches of hashes, votes for the diagonal (document position less template
+    position). A phrase stands where all its grams vote on one diagonal. For templates, diagonals at most `slack`
+    apart are merged, so that a word put in or left out does not end a span; a span counts if distinct template
+    positions of at least `share` of the template voted, so that their words stand there, and it is at most half as
+    long again as the template. score is the largest share of any span, 1 for a phrase.
 
     Null text is empty: no words, no labels, score 0, first_word and last_word null. Only A-Z are lowered.
     Repeated rows give repeated results; a null doc_id is kept. Votes are combined by document and diagonal
@@ -64,15 +88,24 @@ def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, share: f
     columns are ignored.
     """
     spark = docs.sparkSession
-    grams = F.broadcast(template_grams(spark, phrases, templates, k))
+    grams = template_grams(spark, phrases, templates, k)
+    known = grams.select("first", "size", "code").distinct().collect()
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("_x"), F.regexp_extract_all(text, F.lit(TOKEN), 0).alias("_w"))
-    # One more element, at position -1, carries the number of words: every document has a row.
-    at = F.transform(F.sequence(F.lit(0), F.size("_w")), lambda i: F.when(i < F.size("_w"), F.array_join(F.slice("_w", i + 1, k), " ")))
-    rows = rows.select("doc_id", "_x", F.size("_w").alias("_n"), F.posexplode(at).alias("_p", "_g"))
-    two = F.xxhash64(F.lower(F.substring_index("_g", " ", 2)))
-    same = (two == F.col("head")) & (F.expr(f"substring_index(translate(_g, '{UPPER}', '{LOWER}'), ' ', size)") == F.col("gram"))
-    votes = rows.join(grams, same, "left").where(F.col("tid").isNotNull() | F.col("_g").isNull())
+    # lower() changes more than A-Z, but no word that has only ASCII letters; the words decide.
+    rows = rows.withColumn("_h", F.expr("transform(_w, x -> xxhash64(lower(x)))"))
+    rows = rows.withColumn("_c", F.expr(f"array_compact(transform(_h, (x, i) -> if({_flagged(_flags({r['first'] for r in known}), 'x')}, i, null)))"))
+    found = []
+    for n in sorted({r["size"] for r in known}):
+        whole = f"filter(transform(_c, i -> struct(i as p, {_rolling('_h', 'i', n)} as code)), s -> s.p <= size(_h) - {n} and {_flagged(_flags({r['code'] for r in known if r['size'] == n}), 's.code')})"
+        found.append(f"transform({whole}, s -> struct(s.p as p, {n} as n, s.code as code, array_join(slice(_w, s.p + 1, {n}), ' ') as gram))")
+    # One more element, of no gram, carries the number of words: every document has a row.
+    marker = "array(struct(cast(null as int) as p, 0 as n, 0L as code, cast(null as string) as gram))"
+    rows = rows.withColumn("_k", F.expr(f"concat({marker}, {', '.join(found)})"))
+    rows = rows.select("doc_id", "_x", F.size("_w").alias("_n"), F.explode("_k").alias("_k"))
+    rows = rows.select("doc_id", "_x", "_n", F.col("_k.p").alias("_p"), F.col("_k.n").alias("_size"), F.col("_k.code").alias("_code"), F.translate("_k.gram", UPPER, LOWER).alias("_g"))
+    same = (F.col("_code") == F.col("code")) & (F.col("_size") == F.col("size")) & (F.col("_g") == F.col("gram"))
+    votes = rows.join(F.broadcast(grams.drop("first")), same, "left").where(F.col("tid").isNotNull() | F.col("_g").isNull())
     by_doc = ["doc_id", "_x"]
     per = votes.groupBy(*by_doc, "_n", "tid", "label", "base", "grams", "words", (F.col("_p") - F.col("tpos")).alias("_diag")).agg(
         F.collect_set("tpos").alias("_hit"), F.min("_p").alias("_from"), F.max("_p").alias("_to"), F.count("*").alias("_rows")

@@ -14,7 +14,7 @@ from fieldspan.llm.components import components
 from fieldspan.llm.cws import fingerprints
 from fieldspan.llm.jaccard_join import bands_for, jaccard_join, without_copies
 from fieldspan.llm.langid import _count, code_lengths, context_trees, finders, predict_language
-from fieldspan.llm.licenses import license_scan
+from fieldspan.llm.licenses import PHRASES, TEMPLATES, license_scan
 from fieldspan.llm.mixing import mix, mixed
 from fieldspan.llm.packing import best_fit, pack
 from fieldspan.llm.quality import with_quality
@@ -287,6 +287,45 @@ def test_license_places(rows):
     assert (got[3].n_words, got[3].n_base, got[3].first_word, got[3].labels, got[3].score) == (0, 0, None, "", 0)
 
 
+def plain_licenses(text, k=4, share=0.8, slack=2):
+    """Base places and all labels of a text, straight from the definition: every position against every template."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", low)
+    at = lambda p, run: words[p : p + len(run)] == run
+    places = [(p, lab) for phrase, lab in PHRASES for p in range(len(words)) if at(p, phrase.split())]
+    labels, best = {lab for _, lab in places}, 1.0 if places else 0.0
+    for lab, template in TEMPLATES:
+        t = template.split()
+        n = min(k, len(t))
+        grams = len(t) - n + 1
+        votes = sorted((p - j, p, j) for j in range(grams) for p in range(len(words)) if at(p, t[j : j + n]))
+        spans, last = [], None
+        for diagonal, p, j in votes:
+            if last is None or diagonal - last > slack:
+                spans.append([])
+            spans[-1].append((p, j))
+            last = diagonal
+        for span in spans:
+            covered = len({j for _, j in span}) / grams
+            if max(p for p, _ in span) - min(p for p, _ in span) + 1 <= 1.5 * grams:
+                best = max(best, covered)
+                labels |= {lab} if covered >= share else set()
+    starts = [p for p, _ in places]
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted({lab for _, lab in places})), ",".join(sorted(labels)), best
+
+
+def test_license_scan_equals_the_definition(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    body = [t.split() for _, t in TEMPLATES]
+    odd = [" ".join(w) for w in body] + [" ".join(w[: len(w) // 2] + ["extra"] + w[len(w) // 2 :]).upper() for w in body] + [" ".join(w[:-2] + w) for w in body]
+    odd += ["CC by-CC_by. cc\u212abY cc by", "\u212aIT license MIT  License gnu general public license", None, "", "mit license " * 500]
+    docs += [(10_000_000 + i, t) for i, t in enumerate(odd)]
+    got = {r.doc_id: tuple(r)[1:] for r in license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert any(r[5] for r in got.values()) and len(got) == len(docs)
+    for i, t in docs:
+        assert got[i] == pytest.approx(plain_licenses(t)), t
+
+
 def test_license_span_with_a_word_put_in(spark):
     text = "redistribution and use in source and binary forms with or without any modification are permitted provided that the following conditions are met"
     assert license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == "bsd"
