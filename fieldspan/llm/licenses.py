@@ -32,8 +32,8 @@ TEMPLATES = (
 )
 
 
-#: Hash flags that tell which words and grams can be in a template: 64 flags to a long.
-FLAG_LONGS = 256
+#: Hash flags, a byte each, that tell which words and grams can be in a template.
+FLAGS = 8192
 
 
 def _rolling(hashes: str, at: str, n: int) -> str:
@@ -55,16 +55,12 @@ def template_grams(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES, k:
     return table.withColumn("first", F.expr("get(_g, 0)")).withColumn("code", F.expr(f"case size {code} end")).drop("_g")
 
 
-def _flags(codes: set[int]) -> str:
-    """SQL of an array of longs with a bit for the low bits of each code."""
-    longs = [0] * FLAG_LONGS
-    for x in codes:
-        longs[(x >> 6) & (FLAG_LONGS - 1)] |= 1 << (x & 63)
-    return "array(" + ", ".join(f"{x - (1 << 64) if x >> 63 else x}L" if x != 1 << 63 else "(-9223372036854775807L - 1L)" for x in longs) + ")"
-
-
-def _flagged(flags: str, x: str) -> str:
-    return f"(shiftrightunsigned(get({flags}, cast(shiftright({x}, 6) & {FLAG_LONGS - 1} as int)), cast({x} & 63 as int)) & 1) = 1"
+def _flagged(codes: set[int], x: str) -> str:
+    """SQL that is true if x may be one of the codes: a byte of a literal, found by the low bits of x."""
+    flags = bytearray(FLAGS)
+    for c in codes:
+        flags[c & (FLAGS - 1)] = 1
+    return f"substring(X'{flags.hex()}', cast({x} & {FLAGS - 1} as int) + 1, 1) = X'01'"
 
 
 def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, share: float = 0.8, slack: int = 2, k: int = 4) -> DataFrame:
@@ -94,15 +90,16 @@ def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, share: f
     rows = docs.select("doc_id", F.xxhash64(text).alias("_x"), F.regexp_extract_all(text, F.lit(TOKEN), 0).alias("_w"))
     # lower() changes more than A-Z, but no word that has only ASCII letters; the words decide.
     rows = rows.withColumn("_h", F.expr("transform(_w, x -> xxhash64(lower(x)))"))
-    rows = rows.withColumn("_c", F.expr(f"array_compact(transform(_h, (x, i) -> if({_flagged(_flags({r['first'] for r in known}), 'x')}, i, null)))"))
+    rows = rows.withColumn("_c", F.expr(f"array_compact(transform(_h, (x, i) -> if({_flagged({r['first'] for r in known}, 'x')}, i, null)))"))
     found = []
     for n in sorted({r["size"] for r in known}):
-        whole = f"filter(transform(_c, i -> struct(i as p, {_rolling('_h', 'i', n)} as code)), s -> s.p <= size(_h) - {n} and {_flagged(_flags({r['code'] for r in known if r['size'] == n}), 's.code')})"
+        whole = f"filter(transform(_c, i -> struct(i as p, {_rolling('_h', 'i', n)} as code)), s -> s.p <= size(_h) - {n} and {_flagged({r['code'] for r in known if r['size'] == n}, 's.code')})"
         found.append(f"transform({whole}, s -> struct(s.p as p, {n} as n, s.code as code, array_join(slice(_w, s.p + 1, {n}), ' ') as gram))")
     # One more element, of no gram, carries the number of words: every document has a row.
     marker = "array(struct(cast(null as int) as p, 0 as n, 0L as code, cast(null as string) as gram))"
     rows = rows.withColumn("_k", F.expr(f"concat({marker}, {', '.join(found)})"))
-    rows = rows.select("doc_id", "_x", F.size("_w").alias("_n"), F.explode("_k").alias("_k"))
+    # The outer form adds no filter on the array, which would be pushed below and made again of whole texts.
+    rows = rows.select("doc_id", "_x", F.size("_w").alias("_n"), F.explode_outer("_k").alias("_k"))
     rows = rows.select("doc_id", "_x", "_n", F.col("_k.p").alias("_p"), F.col("_k.n").alias("_size"), F.col("_k.code").alias("_code"), F.translate("_k.gram", UPPER, LOWER).alias("_g"))
     same = (F.col("_code") == F.col("code")) & (F.col("_size") == F.col("size")) & (F.col("_g") == F.col("gram"))
     votes = rows.join(F.broadcast(grams.drop("first")), same, "left").where(F.col("tid").isNotNull() | F.col("_g").isNull())
