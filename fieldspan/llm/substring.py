@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernels import Hasher, lists, spans, texts
+from ._kernels import Hasher, lists, mix, spans, texts
 from ._work import BROADCAST_ROWS, keep, small
 
 
@@ -23,29 +23,53 @@ def _minimum(g: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(g) - w + 1], m[w - have : w - have + len(g) - w + 1]) if have < w else m
 
 
-def _levels(hasher: Hasher, h: np.ndarray, wo: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window starts (as word numbers), the text of each, and the least hash of a half window inside each."""
-    half = window // 2
+def levels(window: int, shortest: int = 25) -> list[int]:
+    """Lengths from the window's last half of at least `shortest` words, doubled up to the window: 25 and 50, for 50."""
+    out = [window]
+    while out[0] % 2 == 0 and out[0] // 2 >= shortest:
+        out.insert(0, out[0] // 2)
+    return out
+
+
+def _anchors(hasher: Hasher, h: np.ndarray, wo: np.ndarray, window: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window starts (as word numbers), the text of each, and the least hash of a run of `length` words inside each."""
     n = np.maximum(np.diff(wo) - window + 1, 0)
     owner, place = spans(n)
     start = wo[:-1][owner] + place
     if not len(start):
         return start, owner, np.zeros(0, np.uint64)
-    return start, owner, _minimum(hasher.grams(h, half), window - half + 1)[start]
+    return start, owner, _minimum(hasher.grams(h, length), window - length + 1)[start]
+
+
+def _first_of_runs(least: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors without repeats in a row, and how many each of n texts has."""
+    new = np.ones(len(least), bool)
+    new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+    return least[new].view(np.int64), np.bincount(owner[new], minlength=n)
+
 
+def _fitting(least: np.ndarray, owner: np.ndarray, wanted: pa.Array, first: int, n: int) -> np.ndarray:
+    """Whether a window's anchor is among the candidates of its text."""
+    fit = np.zeros(len(least), bool)
+    ends = np.searchsorted(owner, np.arange(n + 1))
+    for i in range(n):
+        if ends[i] < ends[i + 1]:
+            some = np.asarray(wanted[first + i].as_py() or [], np.int64).view(np.uint64)
+            fit[ends[i] : ends[i + 1]] = np.isin(least[ends[i] : ends[i + 1]], some)
+    return fit
 
-def _survey(window: int):
+
+def _survey(window: int, length: int):
     """Per text: its words, the digest of its words joined by one space, and the anchors of its windows."""
 
     def of(col: pa.Array) -> pa.Array:
         hasher, n_words, digest, anchors, lengths = Hasher(), [], [], [], []
         for _, buf, off in texts(col):
             _, _, h, wo = hasher.words(buf, off)
-            start, owner, least = _levels(hasher, h, wo, window)
-            new = np.ones(len(start), bool)
-            new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-            anchors.append(least[new].view(np.int64))
-            lengths.append(np.bincount(owner[new], minlength=len(off) - 1))
+            start, owner, least = _anchors(hasher, h, wo, window, length)
+            some, many = _first_of_runs(least, owner, len(off) - 1)
+            anchors.append(some)
+            lengths.append(many)
             n_words.append(np.diff(wo))
             raw = buf.tobytes()
             digest += [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)]
@@ -57,24 +81,42 @@ def _survey(window: int):
     return of
 
 
-def _windows(window: int):
-    """Hash and start of every window whose anchor is among the given candidates."""
+def _extend(window: int, before: int, length: int):
+    """The anchors of one level, of those windows whose anchor of the level before is among the candidates."""
+
+    def of(col: pa.Array, wanted: pa.Array) -> pa.Array:
+        hasher, anchors, lengths = Hasher(), [], []
+        for first, buf, off in texts(col):
+            _, _, h, wo = hasher.words(buf, off)
+            _, owner, least = _anchors(hasher, h, wo, window, before)
+            fit = _fitting(least, owner, wanted, first, len(off) - 1)
+            _, _, longer = _anchors(hasher, h, wo, window, length)
+            some, many = _first_of_runs(longer[fit], owner[fit], len(off) - 1)
+            anchors.append(some)
+            lengths.append(many)
+        return lists(anchors, lengths, pa.int64())
+
+    return of
+
+
+#: Added to the hashes of words for the second half of a window's 128 bits.
+SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _windows(window: int, length: int):
+    """128 bits of hash, and start, of every window whose anchor of the level before is among the candidates."""
 
     def of(col: pa.Array, wanted: pa.Array) -> pa.Array:
-        hasher, starts, hashes, lengths = Hasher(), [], [], []
+        hasher, starts, hashes, others, lengths = Hasher(), [], [], [], []
         for first, buf, off in texts(col):
             _, _, h, wo = hasher.words(buf, off)
-            start, owner, least = _levels(hasher, h, wo, window)
-            full = hasher.grams(h, window)
-            fit = np.zeros(len(start), bool)
-            ends = np.searchsorted(owner, np.arange(len(off)))
-            for i in range(len(off) - 1):
-                some = np.asarray(wanted[first + i].as_py() or [], np.int64).view(np.uint64)
-                fit[ends[i] : ends[i + 1]] = np.isin(least[ends[i] : ends[i + 1]], some)
-            hashes.append(full[start[fit]].view(np.int64))
+            start, owner, least = _anchors(hasher, h, wo, window, length)
+            fit = _fitting(least, owner, wanted, first, len(off) - 1)
+            hashes.append(hasher.grams(h, window)[start[fit]].view(np.int64))
+            others.append(hasher.grams(mix(h + SECOND), window)[start[fit]].view(np.int64))
             starts.append(start[fit] - wo[:-1][owner[fit]])
             lengths.append(np.bincount(owner[fit], minlength=len(off) - 1))
-        return pa.StructArray.from_arrays([lists(hashes, lengths, pa.int64()), lists(starts, lengths, pa.int32())], ["h", "p"])
+        return pa.StructArray.from_arrays([lists(hashes, lengths, pa.int64()), lists(others, lengths, pa.int64()), lists(starts, lengths, pa.int32())], ["h", "g", "p"])
 
     return of
 
@@ -139,46 +181,60 @@ def substring_dedup(docs: DataFrame, window: int = 50, carry: list[str] | None =
     removed, else the kept words joined by one space. With `carry`, columns of docs, returns these with
     n_removed and kept_text: then what joins the documents is narrow, the runs of words that go.
 
-    Level 1 is half a window. Of each window's halves only the one of least hash, its anchor, is surveyed:
-    equal windows have equal anchors, so none is lost, and about one position in thirteen is shuffled.
-    Anchors found in one text alone end there. Level 2 doubles the others to whole windows and looks for
-    the smallest document of each. Level 2 is the last that counts: whatever a longer repeated passage
-    covers, its windows cover too. Texts that are equal as a whole go through both levels once.
+    Lengths double from level to level up to the window (`levels`: 25 and 50 words for a window of 50). Below the
+    window, only the run of least hash inside each window, its anchor, is surveyed: equal windows have equal anchors, so
+    none is lost, and about one position in thirteen is shuffled. Anchors found in one text alone end there; the
+    windows of the others go on to anchors of twice the length, and at last to whole windows, of which the smallest
+    document is looked for. The loop ends early where no candidate survives. Longer levels than the window would not
+    change what goes: whatever a longer repeated passage covers, its windows cover too. Texts that are equal as a whole
+    go through all levels once.
 
     Texts are shuffled only for documents with candidates, while these are few enough to broadcast their
     ids; hot passages meet in sums that are combined before the shuffle, and in joins of two plain
-    exchanges that Spark splits when skewed. Windows are compared by 64-bit hashes.
+    exchanges that Spark splits when skewed. Windows are compared by 128 bits of hash.
 
     Null text has no words. Shorter texts keep all words. A document with a null doc_id is left whole and
     owns nothing. Rows that repeat a doc_id are one document to each other: nothing is removed for their
     sake. An empty table gives an empty result. Other columns are ignored unless carried.
     """
-    half = F.arrow_udf(_survey(window), "n_words long, kept_sha256 string, anchors array<long>")
+    lengths = levels(window)
+    half = F.arrow_udf(_survey(window, lengths[0]), "n_words long, kept_sha256 string, anchors array<long>")
     seen = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("_t"), half("text").alias("_s"))
     seen = keep(seen.select("doc_id", F.unhex("_t").alias("_t"), "_s.*"), "substring_survey")
 
     # Equal texts: the smallest doc_id stands for all.
     first = keep(seen.where("doc_id is not null and n_words >= %d" % window).groupBy("_t").agg(F.min("doc_id").alias("_rep")), "substring_first")
     reps = seen.where("size(anchors) > 0").join(first, (seen["_t"] == first["_t"]) & (seen["doc_id"] == first["_rep"]), "left_semi")
-
-    # Level 1: anchors in two texts at least, and the documents that have them.
     anchors = reps.select("doc_id", "_t", F.explode("anchors").alias("_a"))
-    code = F.xxhash64("_t")
-    twice = keep(anchors.groupBy("_a").agg(F.min(code).alias("_x"), F.max(code).alias("_y")).where("_x <> _y").select("_a"), "substring_anchors")
-    wanted = keep(anchors.join(twice, "_a").groupBy("doc_id", "_t").agg(F.collect_set("_a").alias("_wanted")), "substring_wanted")
-
-    # Level 2: the whole windows at those anchors.
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    with_text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    with_text = with_text.withColumn("_t", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    pairs = with_text.join(wanted, ["doc_id", "_t"])
-    whole = F.arrow_udf(_windows(window), "h array<long>, p array<int>")
-    pairs = pairs.withColumn("_w", whole("text", "_wanted")).drop("_wanted")
+
+    def candidates(anchors: DataFrame) -> DataFrame:
+        """The documents that have anchors which are in two texts at least, and those anchors."""
+        code = F.xxhash64("_t")
+        twice = keep(anchors.groupBy("_a").agg(F.min(code).alias("_x"), F.max(code).alias("_y")).where("_x <> _y").select("_a"), "substring_anchors")
+        return keep(anchors.join(twice, "_a").groupBy("doc_id", "_t").agg(F.collect_set("_a").alias("_wanted")), "substring_wanted")
+
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+        few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        some = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
+        return some.withColumn("_t", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).join(wanted, ["doc_id", "_t"])
+
+    wanted = candidates(anchors)
+    for before, length in zip(lengths[:-2], lengths[1:-1], strict=True):
+        if not wanted.limit(1).count():
+            break
+        extend = F.arrow_udf(_extend(window, before, length), "array<long>")
+        wanted = candidates(with_texts(wanted).select("doc_id", "_t", F.explode(extend("text", "_wanted")).alias("_a")))
+
+    # The last level: whole windows.
+    whole = F.arrow_udf(_windows(window, lengths[max(0, len(lengths) - 2)]), "h array<long>, g array<long>, p array<int>")
+    pairs = with_texts(wanted).withColumn("_w", whole("text", "_wanted")).drop("_wanted")
     pairs = keep(pairs.drop("text") if carry else pairs, "substring_windows")
-    windows = pairs.select("doc_id", "_t", F.explode(F.arrays_zip("_w.h", "_w.p")).alias("_z")).select("doc_id", "_t", F.col("_z.h").alias("_h"), F.col("_z.p").alias("_p"))
-    owner = keep(windows.groupBy("_h").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").select("_h", "_first"), "substring_owners")
-    hits = windows.join(owner, "_h").where("_first < doc_id").groupBy("doc_id", "_t").agg(F.collect_set("_p").alias("_at"))
+    windows = pairs.select("doc_id", "_t", F.explode(F.arrays_zip("_w.h", "_w.g", "_w.p")).alias("_z"))
+    windows = windows.select("doc_id", "_t", F.col("_z.h").alias("_h"), F.col("_z.g").alias("_g"), F.col("_z.p").alias("_p"))
+    owner = windows.groupBy("_h", "_g").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last")
+    owner = keep(owner.select("_h", "_g", "_first"), "substring_owners")
+    hits = windows.join(owner, ["_h", "_g"]).where("_first < doc_id").groupBy("doc_id", "_t").agg(F.collect_set("_p").alias("_at"))
 
     # All documents: copies lose all, changed documents what was cut, the others nothing.
     base = seen.drop("anchors").join(first, "_t", "left")

@@ -18,7 +18,7 @@ from fieldspan.llm.licenses import PHRASES, TEMPLATES, license_scan
 from fieldspan.llm.mixing import mix, mixed
 from fieldspan.llm.packing import best_fit, pack
 from fieldspan.llm.quality import with_quality
-from fieldspan.llm.substring import substring_dedup
+from fieldspan.llm.substring import levels, substring_dedup
 from fieldspan.llm.topk import sorted_lists, threshold_topk, top_k
 from fieldspan.llm.warc import warc_round_trip
 
@@ -147,17 +147,32 @@ def test_components_of_a_chain(spark):
     assert {(r.node, r.root) for r in components(edges).collect()} == {(i, 0) for i in range(31)} | {(100, 100), (101, 100)}
 
 
-def test_substring_of_odd_rows(rows):
-    got = {r.doc_id: r for r in substring_dedup(rows).collect() if r.doc_id is not None}
-    data = {r.doc_id: WORD.findall(r.text or "") for r in rows.collect() if r.doc_id is not None}
-    starts = collections.defaultdict(list)
+def plain_substring(data, window):
+    """(words, words that go, digest of the rest) of each document of a dict of texts, straight from the definition."""
+    data = {i: WORD.findall(t or "") for i, t in data.items()}
+    starts = {}
     for i, w in data.items():
-        for p in range(len(w) - 49):
-            starts[tuple(w[p : p + 50])].append(i)
+        for p in range(len(w) - window + 1):
+            run = tuple(w[p : p + window])
+            starts[run] = min(i, starts.get(run, i))
+    out = {}
     for i, w in data.items():
-        gone = {k for p in range(len(w) - 49) if min(starts[tuple(w[p : p + 50])]) < i for k in range(p, p + 50)}
+        gone = {k for p in range(len(w) - window + 1) if starts[tuple(w[p : p + window])] < i for k in range(p, p + window)}
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+        out[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("window", [30, 50, 200])
+def test_substring_of_odd_rows(rows, window):
+    assert levels(window) == {30: [30], 50: [25, 50], 200: [25, 50, 100, 200]}[window]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(rows, window).collect() if r.doc_id is not None}
+    assert got == plain_substring({r.doc_id: r.text for r in rows.collect() if r.doc_id is not None}, window)
+
+
+def test_substring_of_texts_that_share_no_anchor(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"{k}w{i}" for i in range(300))) for k in range(3)], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup(docs, 200).collect()} == {0}
 
 
 def test_substring_carries_columns(spark, sf_dir):
