@@ -4,11 +4,13 @@ import collections
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline as cp
 from fieldspan.llm import queries
 from fieldspan.llm.components import components
 from fieldspan.llm.cws import fingerprints
@@ -268,6 +270,32 @@ def test_equal_texts_have_equal_fingerprints(rows):
     assert got[3].fingerprint == got[4].fingerprint == ""
 
 
+def test_packing_equals_plain_best_fit():
+    """Every step of pack() against the rule, by looking at all bins and all sizes still to come."""
+    rng, lengths, overhead = np.random.default_rng(3), (64, 256, 1024), 8
+    for k in range(12):
+        sizes = [int(x) for x in rng.integers(1, (60, 300, 1000)[k % 3], 150)]
+        got, bins = pack(sizes, lengths, overhead), []
+        left = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+        while left:
+            i = left.pop(0)
+            s, (b, offset) = sizes[i], got[i]
+            rooms = [c - n for c, n in bins if c - n >= s]
+            if rooms:
+                assert bins[b][0] - bins[b][1] == min(rooms)
+            else:
+                assert b == len(bins)
+                costs = []
+                for c in (c for c in lengths if c >= s):
+                    holds = s
+                    for j in left:
+                        holds += sizes[j] if holds + sizes[j] <= c else 0
+                    costs.append(((c + overhead) / holds, c))
+                bins.append([min(costs)[1], 0])
+            assert offset == bins[b][1]
+            bins[b][1] += s
+
+
 def test_packing_fits_and_downsizes():
     rng = np.random.default_rng(2)
     sizes = [int(x) for x in rng.integers(1, 512, 400)] + [512, 4096, 1, 1]
@@ -392,19 +420,106 @@ def test_quality_of_odd_rows_with_both_labels(rows):
     assert all(len(v) == 1 for v in same.values())
 
 
-def test_pipeline_stages_follow_each_other(spark, sf_dir):
-    import corpus_pipeline as cp
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+
+@pytest.fixture(scope="module")
+def corpus(spark, sf_dir, rows):
+    """Documents with copies, nulls and repeated rows, and an extra column of another stage's name."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = rows.withColumn("doc_id", F.col("doc_id") + 10_000_000).select(*COLUMNS)
+    return docs.unionByName(odd).unionByName(docs.where("doc_id % 7 = 0")).withColumn("quality_view", F.lit(1)).withColumn("_id", F.lit(0)).cache()
+
+
+def bag(rows):
+    return collections.Counter(tuple(r[c] for c in COLUMNS) for r in rows)
+
+
+def test_stage_quality_keeps_what_the_classifier_keeps(spark, sf_dir, corpus):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = bag(dict(cp.STAGES)["quality_classifier"](spark, corpus, sf_dir).collect())
+    assert got == bag(with_quality(corpus.select(*COLUMNS), labels).where("quality_view.keep").collect())
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    all_good = [k for k in bag(corpus.collect()).elements() if k[0] in good]
+    assert sum(k in got for k in all_good) >= 0.97 * len(all_good)
+
+
+def test_stage_near_duplicates_equals_brute_force(spark, sf_dir, corpus):
+    got = bag(dict(cp.STAGES)["near_duplicates"](spark, corpus, sf_dir).collect())
+    data = list(bag(corpus.collect()))
+    nodes = sorted({(k[0], k[1]) for k in data if k[0] is not None and k[1] is not None})
+    sets = {t: set(grams(t)) for _, t in nodes}
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(nodes):
+        for y in nodes[:i]:
+            a, b = sets[x[1]], sets[y[1]]
+            if x[1] == y[1] or (a & b and len(a & b) >= 0.8 * len(a | b) - 1e-9):
+                one, two = find(x), find(y)
+                root[max(one, two)] = min(one, two)
+    want = collections.Counter({k: n if k[0] is None or k[1] is None else 1 for k, n in bag(corpus.collect()).items() if k[0] is None or k[1] is None or find(k[:2])[0] == k[0]})
+    assert got == want
+
+
+def test_stage_repeated_passages_equals_brute_force(spark, sf_dir, corpus):
+    got = bag(dict(cp.STAGES)["repeated_passages"](spark, corpus, sf_dir).collect())
+    plain = plain_substring({r.doc_id: r.text for r in corpus.collect() if r.doc_id is not None}, 50)
+    want, sizes = collections.Counter(), collections.Counter()
+    for k, n in bag(corpus.collect()).items():
+        words, gone, _ = plain.get(k[0], (0, 0, ""))
+        if not gone:
+            want[k] += n
+        elif gone < words:
+            sizes[k[0], words - gone] += n
+    cut = {k: n for k, n in got.items() if k not in want}
+    assert {k: n for k, n in got.items() if k in want} == want
+    assert collections.Counter({}) + sum((collections.Counter({(k[0], len(k[1].split(" "))): n}) for k, n in cut.items()), collections.Counter()) == sizes
+    assert all(hashlib.sha256(k[1].encode()).hexdigest() == plain[k[0]][2] and k[4] == len(k[1]) for k in cut)
+
+
+def test_stage_source_mixing_equals_sql(spark, sf_dir, corpus):
+    got = bag(dict(cp.STAGES)["source_mixing"](spark, corpus, sf_dir).collect())
+    con = duckdb.connect()
+    con.register("documents", corpus.select(*COLUMNS).toArrow())
+    copies = queries.ORACLE_SQL["op10_mixing"].replace("SELECT doc_id, size, source_size, target,", "SELECT doc_id, text, lang, source, n_chars,").replace("(size * least(3,", "(least(3,").replace("SELECT doc_id, source, coalesce", "SELECT doc_id, text, lang, n_chars, source, coalesce")
+    want = collections.Counter()
+    for *k, n in con.execute(copies).fetchall():
+        want[tuple(k)] += n
+    assert got == +want
+
+
+def test_stage_packing_packs_every_row(spark, sf_dir, corpus):
+    got = collections.Counter()
+    bins = collections.defaultdict(list)
+    for r in dict(cp.STAGES)["packing"](spark, corpus, sf_dir).collect():
+        got[r.doc_id] += r.length
+        if r.bin_id is not None:
+            bins[r.bin_id, r.bin_length].append((r.bin_offset, r.bin_offset + r.length))
+    want = collections.Counter()
+    for r in corpus.collect():
+        want[r.doc_id] += len(WORD.findall(r.text or ""))
+    assert got == want and len({b for b, _ in bins}) == len(bins)
+    for (_, size), spans in bins.items():
+        spans.sort()
+        assert spans[0][0] == 0 and all(x[1] == y[0] for x, y in zip(spans, spans[1:])) and size == min(c for c in (512, 1024, 2048, 4096) if c >= spans[-1][1])
+
+
+def test_stages_of_an_empty_table(spark, sf_dir, corpus):
+    for name, stage in cp.STAGES:
+        assert stage(spark, corpus.where("false"), sf_dir).collect() == [], name
+
+
+def test_pipeline_runs_its_stages_in_order(spark, sf_dir):
+    assert [n for n, _ in cp.STAGES] == ["quality_classifier", "near_duplicates", "repeated_passages", "source_mixing", "packing"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scored = {r.doc_id: r.keep for r in queries.op3_quality_classifier(spark, sf_dir).collect()}
-    stages = dict(cp.STAGES)
-    a = {r.doc_id: r.text for r in stages["quality_classifier"](spark, docs, sf_dir).collect()}
-    assert set(a) == {i for i, k in scored.items() if k}
-    kept = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in a.items()], "doc_id long, text string, lang string, source string, n_chars long")
-    b = {r.doc_id for r in stages["near_duplicates"](spark, kept, sf_dir).collect()}
-    sets = {i: set(grams(t)) for i, t in a.items()}
-    for i in a:
-        earlier = [j for j in a if j < i and (a[j] == a[i] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
-        assert (i in b) == (not earlier) or i not in b
-    out = cp.run(spark, sf_dir)
-    assert out.count() > 0 and {"doc_id", "bin_id", "length"} <= set(out.columns)
+    for i, (_, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i < len(cp.STAGES) - 1:
+            docs = spark.createDataFrame(out.collect(), out.schema)
+    want = collections.Counter((r.doc_id, r.piece, r.start, r.length) for r in out.collect())
+    assert want and collections.Counter((r.doc_id, r.piece, r.start, r.length) for r in cp.run(spark, sf_dir).collect()) == want
