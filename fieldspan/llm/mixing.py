@@ -104,13 +104,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
-    """The rows of docs, each as often as mix() takes it (rows it does not take go; order is free)."""
-    plan = mix(docs, weights, max_epochs).select("doc_id", F.col("source").alias("_src"), "copies", "hash").distinct()
-    hexed = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("text"), F.lit(""))))
-    keyed = docs.withColumn("_h", F.substring(hexed, 1, DIGITS * LEVELS))
-    same = keyed["doc_id"].eqNullSafe(plan["doc_id"]) & keyed["source"].eqNullSafe(plan["_src"]) & (keyed["_h"] == plan["hash"])
-    out = keyed.join(small(plan.where("copies > 0")), same).select(*[keyed[c] for c in docs.columns], plan["copies"].alias("_copies"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The rows of docs, each as often as mix() takes it (rows it does not take go; order is free). All columns pass through."""
+    plan = mix(docs, weights, max_epochs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("hash").alias("_hash"), "copies").distinct()
+    plan = keep(plan, "mix_copies")
+    # Rows go through as one struct, so that no column of theirs can clash.
+    packed = docs.select(F.struct("*").alias("_all"))
+    hexed = F.md5(F.concat_ws(":", F.coalesce(F.col("_all.doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("_all.text"), F.lit(""))))
+    same = F.col("_all.doc_id").eqNullSafe(F.col("_id")) & F.col("_all.source").eqNullSafe(F.col("_src")) & (F.substring(hexed, 1, DIGITS * LEVELS) == F.col("_hash"))
+    out = packed.join(small(plan), same).select("_all", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    return out.select("_all.*")
 
 
 def _all(conditions: list):

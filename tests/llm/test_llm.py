@@ -381,8 +381,9 @@ def test_mix_comes_near_its_targets(spark, sf_dir):
 
 
 def test_mixed_rows_are_as_many_as_copies(rows):
+    rows = rows.withColumns({"_h": F.lit("mine"), "hash": F.lit("mine"), "copies": F.lit(-1)})
     plan, out = mix(rows), mixed(rows)
-    assert out.columns == rows.columns
+    assert out.columns == rows.columns and {(r._h, r.hash, r.copies) for r in out.collect()} == {("mine", "mine", -1)}
     assert out.count() == plan.agg(F.sum("copies")).first()[0]
 
 
