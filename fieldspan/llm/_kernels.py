@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at once; the arrays made of them take about 40 times as much.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:

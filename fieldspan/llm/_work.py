@@ -45,7 +45,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 #: Rows and bytes of an Arrow batch: whole texts are long, and both sides of the pipe hold a batch of each task.
-BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 2 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
