@@ -1 +1,10 @@
-"""Spatially honest predictive analytics on Spark."""
+"""Spatially honest predictive analytics on Spark.
+
+Functions that run in Python workers are pickled by value, so executors need no copy of the repository.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,17 +22,24 @@ def equal_area_blocks(df: DataFrame, size_km: float, lon0: float, lat0: float) -
 def correlogram(df: DataFrame, breaks: list[float], lonlat: bool = False) -> DataFrame:
     """Moran's I by distance class [a, b). Pairs come from neighbouring buckets of the largest distance, not from all rows.
 
-    df has id, x, y, value. Longitudes and latitudes use buckets of whole degrees that are wide enough at the
-    latitudes between -60 and 60.
+    df has id, x, y, value. Longitudes and latitudes are first put on the sphere, where buckets are cubes of the largest
+    distance, so that pairs across the date line and near the poles meet as well.
     """
     m = df.agg(F.avg("value").alias("_m"), F.var_pop("value").alias("_v"), F.count("*").alias("_n"))
     z = df.crossJoin(F.broadcast(m)).withColumn("z", F.col("value") - F.col("_m"))
-    side = breaks[-1] / (55.0 if lonlat else 1.0)
-    cell = lambda c: F.floor(F.col(c) / side).cast("long")
-    a = z.select(F.col("id").alias("ia"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("z").alias("za"), cell("x").alias("i"), cell("y").alias("j"))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = z.withColumn("_d", around).select(F.col("id").alias("ib"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("z").alias("zb"), (cell("x") + F.col("_d.di")).alias("i"), (cell("y") + F.col("_d.dj")).alias("j"))
-    p = a.join(b, ["i", "j"]).where("ia < ib")
+    if lonlat:
+        # A chord is never longer than its arc, so buckets of the largest distance hold all pairs.
+        lon, lat, radius = F.radians("x"), F.radians("y"), 6371.0088
+        place = [radius * F.cos(lat) * F.cos(lon), radius * F.cos(lat) * F.sin(lon), radius * F.sin(lat)]
+    else:
+        place = [F.col("x"), F.col("y")]
+    names = ["i", "j", "k"][: len(place)]
+    cells = [F.floor(c / breaks[-1]).cast("long") for c in place]
+    a = z.select(F.col("id").alias("ia"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("z").alias("za"), *[c.alias(n) for c, n in zip(cells, names, strict=True)])
+    steps = [F.struct(*[F.lit(v).alias(n) for v, n in zip(step, names, strict=True)]) for step in itertools.product((-1, 0, 1), repeat=len(names))]
+    b = z.withColumn("_d", F.explode(F.array(*steps)))
+    b = b.select(F.col("id").alias("ib"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("z").alias("zb"), *[(c + F.col(f"_d.{n}")).alias(n) for c, n in zip(cells, names, strict=True)])
+    p = a.join(b, names).where("ia < ib")
     d = haversine(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")) if lonlat else F.sqrt(F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2))
     klass = F.lit(None).cast("int")
     for i in range(len(breaks) - 2, -1, -1):
@@ -110,7 +119,8 @@ def nearest(x: DataFrame, train: DataFrame, other_folds: bool = False) -> DataFr
                 a, b = _matrix(r.v_a), _matrix(r.v_b)
                 sq = _squared(a, b)
                 if other_folds:
-                    sq[np.asarray(r.fold_a)[:, None] == np.asarray(r.fold_b)[None]] = np.inf
+                    fold = lambda f: np.array([np.nan if v is None else v for v in f], float)
+                    sq[fold(r.fold_a)[:, None] == fold(r.fold_b)[None]] = np.inf
                 at = sq.argmin(1)
                 d = np.where(np.isfinite(sq.min(1)), np.sqrt(((a - b[at]) ** 2).sum(1)), np.inf)
                 yield pd.DataFrame({"id": np.asarray(r.id_a), "d": d})
@@ -128,8 +138,8 @@ def dissimilarity(train: DataFrame, x: DataFrame, unit: DataFrame) -> DataFrame:
 
 
 def cross_fold_di(train: DataFrame, unit: DataFrame) -> DataFrame:
-    """Dissimilarity of each training row (id, v, fold) to the rows of other folds."""
-    return _in_units(nearest(train, train, other_folds=True), unit)
+    """Dissimilarity of each row (id, v, fold) that has a fold to the rows of other folds and of none. Rows without a fold are only neighbours."""
+    return _in_units(nearest(train.where("fold is not null"), train, other_folds=True), unit)
 
 
 def aoa_threshold(cv_di: DataFrame, k_iqr: float = 1.5) -> DataFrame:

@@ -58,13 +58,13 @@ def kfold_plan(df: DataFrame, group: str, k: int, test_frac: float = 0.0, seed:
     """(fold, sample_id, role): whole groups are carved for the test, the rest dealt to folds; others train."""
     test = draw_groups(df, group, test_frac, seed + 1000) if test_frac > 0 else None
     x = df.select("sample_id", F.col(group).alias("group"))
-    pool = x.join(F.broadcast(test), "group", "left_anti") if test is not None else x
+    pool = x.join(test, "group", "left_anti") if test is not None else x
     out = pool.join(deal(pool, "group", k, seed).withColumnRenamed("fold", "_f"), "group")
     out = out.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
     out = out.select("fold", "sample_id", F.when(F.col("_f") == F.col("fold"), "validation").otherwise("train").alias("role"))
     if test is None:
         return out
-    held = x.join(F.broadcast(test), "group", "left_semi").withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    held = x.join(test, "group", "left_semi").withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
     return out.union(held.select("fold", "sample_id", F.lit("test")))
 
 

@@ -236,7 +236,7 @@ def conformal_scaled_interval(s, d):
     return metrics.coverage(intervals.scaled_interval(obs(s, d), "l_quantity", half=F.col("fold") < 2))
 
 
-@query(""", c AS (SELECT fold, abs(obs - pred) AS s FROM o WHERE sample_id % 50 < 2), n AS (SELECT count(*) AS n, ceil((count(*) + 1) * 0.9::DOUBLE)::BIGINT AS r FROM c),
+@query(""", c AS (SELECT fold, abs(obs - pred) AS s FROM o), n AS (SELECT count(*) AS n, ceil((count(*) + 1) * 0.9::DOUBLE)::BIGINT AS r FROM c),
 a AS (SELECT vec_id AS id, list_transform([embedding[1], embedding[2], embedding[3], embedding[4], embedding[5]], lambda z: z::DOUBLE * 1000) AS mu FROM embeddings)
 SELECT id, round(-(list_sort(list(-mu[fold + 1] + s))[max(r)]), 6) AS lower, round(list_sort(list(mu[fold + 1] + s))[max(r)], 6) AS upper FROM a, c, n GROUP BY id""")
 def cv_plus_interval(s, d):
@@ -303,7 +303,7 @@ _TEST = """tg AS (SELECT g FROM (SELECT g, sum(n) OVER (ORDER BY md5('1042_' ||
 def holdout_plan(s, d):
     p = points(s, d)
     test = plans.draw_groups(p, "profile", 0.15, 1042).withColumn("_t", F.lit(True))
-    return p.join(F.broadcast(test), p["profile"] == test["group"], "left").select("sample_id", F.when(F.col("_t"), "test").otherwise("train").alias("role"))
+    return p.join(test, p["profile"] == test["group"], "left").select("sample_id", F.when(F.col("_t"), "test").otherwise("train").alias("role"))
 
 
 _DEAL = """sz AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, md5('42_' || g), g) AS i FROM (SELECT (sample_id % 23)::VARCHAR AS g, count(*) AS n FROM pt GROUP BY 1)),

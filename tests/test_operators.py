@@ -10,15 +10,19 @@ from fieldspan.operators import importance, intervals, metrics, selection, smear
 from fieldspan.plans import deal, near
 
 
-def test_ccc_of_a_shift(spark):
-    df = spark.createDataFrame([(float(x), x + 5.0) for x in (10, 20, 30, 40)], "obs double, pred double")
-    assert metrics.calc_metrics(df).first()["ccc"] == pytest.approx(250 / 275)
+def test_metrics_equal_numpy(spark):
+    rng = np.random.default_rng(8)
+    o = rng.gamma(3, 7, 60)
+    p = 0.7 * o + rng.normal(size=60) * 2 + 1
+    r = metrics.calc_metrics(spark.createDataFrame(list(zip(o.tolist(), p.tolist())), "obs double, pred double")).first()
+    e = p - o
+    assert r["ccc"] == pytest.approx(2 * ((o - o.mean()) * (p - p.mean())).mean() / (o.var() + p.var() + (o.mean() - p.mean()) ** 2))
+    assert (r["mae"], r["rmse"], r["bias"], r["bias_pct"]) == pytest.approx((abs(e).mean(), math.sqrt((e * e).mean()), e.mean(), 100 * e.mean() / o.mean()))
 
 
-def test_metrics_by_hand(spark):
-    r = metrics.calc_metrics(spark.createDataFrame([(float(i), i + 1.0) for i in range(1, 5)], "obs double, pred double")).first()
-    assert (r["mae"], r["rmse"], r["bias"], r["bias_pct"]) == pytest.approx((1, 1, 1, 40))
-    assert r["ccc"] == pytest.approx(2.5 / 3.5)
+def test_a_perfect_prediction(spark):
+    r = metrics.calc_metrics(spark.createDataFrame([(v, v) for v in (2.5, 3.0, 7.25)], "obs double, pred double")).first()
+    assert (r["ccc"], r["mae"], r["rmse"], r["bias"]) == (1, 0, 0, 0)
 
 
 def test_metrics_without_enough_rows_are_null(spark):
@@ -31,32 +35,57 @@ def test_constant_prediction(spark):
     assert r["ccc"] == 0 and r["r2"] is None
 
 
-def test_conformal_ranks(spark):
-    df = spark.createDataFrame([(0.0, float(i)) for i in range(1, 20)], "obs double, pred double")
-    r = intervals.conformal_point(df).first()
-    assert (r["k"], r["q"]) == (18, 18.0)
-    assert math.isinf(intervals.conformal_point(df.limit(5)).first()["q"])
+def test_conformal_quantile_is_an_order_statistic(spark):
+    score = np.random.default_rng(9).permutation(137) / 4
+    df = spark.createDataFrame([(3.0, 3.0 + float(v)) for v in score], "obs double, pred double")
+    k = math.ceil(138 * 0.9)
+    assert tuple(intervals.conformal_point(df).select("k", "q").first()) == (k, np.sort(score)[k - 1])
+    assert math.isinf(intervals.conformal_point(df.limit(7)).first()["q"])
 
 
-def test_conformal_by_group(spark):
-    rows = [("big", 0.0, 100.0)] * 91 + [(f"g{i}", 0.0, float(i)) for i in range(1, 10)]
+def test_conformal_groups_weigh_alike(spark):
+    # Three groups of one row with scores 1, 2 and 4, and one of forty rows with score 3: each group counts once.
+    rows = [(g, 0.0, s) for g, s in (("a", 1.0), ("b", 2.0), ("d", 4.0))] + [("c", 0.0, 3.0)] * 40
     df = spark.createDataFrame(rows, "g string, obs double, pred double")
-    assert intervals.conformal_group(df, "g", 0.1).first()["q"] == 100
-    assert intervals.conformal_group(df, "g", 0.2).first()["q"] == 9
-
-
-def test_smearing_of_two_residuals(spark):
-    df = spark.createDataFrame([(0.5, 0.0), (-0.5, 0.0)] * 20, "obs_t double, pred_t double")
-    assert smearing.smearing_factor(df).first()["s"] == pytest.approx(math.cosh(0.5))
-    x = spark.createDataFrame([(math.log1p(10),)], "pred_t double")
-    assert smearing.smear(x, smearing.smearing_factor(df)).first()["mean_surface"] == pytest.approx(11 * math.cosh(0.5) - 1)
-
-
-def test_dissimilarity_of_two_points(spark):
-    t = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id long, v array<double>")
-    u = spatial.di_reference(t)
-    assert u.first()["avg_dist"] == 1
-    assert spatial.dissimilarity(t, spark.createDataFrame([(9, [3.0, 0.0])], "id long, v array<double>"), u.select("avg_dist")).first()["di"] == 2
+    assert [intervals.conformal_group(df, "g", alpha).first()["q"] for alpha in (0.5, 0.3)] == [3, 4]
+
+
+def test_smearing_factor_is_the_mean_of_exponentials(spark):
+    e = np.random.default_rng(10).normal(size=80) / 3
+    df = spark.createDataFrame([(2.0 + float(v), 2.0) for v in e], "obs_t double, pred_t double")
+    factor = smearing.smearing_factor(df)
+    assert factor.first()["s"] == pytest.approx(np.exp(e).mean())
+    x = spark.createDataFrame([(0.9,)], "pred_t double")
+    assert smearing.smear(x, factor).first()["mean_surface"] == pytest.approx(math.exp(0.9) * np.exp(e).mean() - 1)
+
+
+def test_dissimilarity_is_in_units_of_the_mean_distance(spark):
+    t = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [6.0, 8.0])], "id long, v array<double>")
+    unit = spatial.di_reference(t)
+    assert unit.first()["avg_dist"] == pytest.approx(20 / 3)
+    got = spatial.dissimilarity(t, spark.createDataFrame([(9, [6.0, 3.0])], "id long, v array<double>"), unit.select("avg_dist")).first()["di"]
+    assert got == pytest.approx(math.sqrt(10) / (20 / 3))
+
+
+def test_rows_without_a_fold_are_only_neighbours(spark):
+    t = spark.createDataFrame([(1, [0.0], 0), (2, [1.0], 0), (3, [5.0], 1), (4, [2.0], None), (5, [2.0], None)], "id long, v array<double>, fold int")
+    unit = spark.createDataFrame([(1.0,)], "avg_dist double")
+    assert {r["id"]: r["di"] for r in spatial.cross_fold_di(t, unit).collect()} == {1: 2, 2: 1, 3: 3}
+
+
+def test_correlogram_crosses_the_date_line_and_nears_the_pole(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, float(x), float(y), float(v)) for i, (x, y, v) in enumerate(zip([179.9, -179.9, 10, 190 - 360, 170, 0.1, -0.1] * 6, np.r_[rng.uniform(-1, 1, 21), rng.uniform(85, 90, 21)], rng.normal(size=42)))]
+    breaks, pairs = [0.0, 60.0, 250.0], [0, 0]
+    for i, x, y, _ in rows:
+        for j, u, v, _ in rows[:i]:
+            a, b, d = math.radians(y), math.radians(v), math.radians(x - u)
+            h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(d / 2) ** 2
+            far = 2 * 6371.0088 * math.asin(min(1, math.sqrt(h)))
+            for k in (0, 1):
+                pairs[k] += breaks[k] <= far < breaks[k + 1]
+    got = spatial.correlogram(spark.createDataFrame(rows, "id int, x double, y double, value double"), breaks, lonlat=True).collect()
+    assert {r["class"]: r["n_pairs"] for r in got} == {k + 1: n for k, n in enumerate(pairs) if n}
 
 
 def test_deal_of_largest_first(spark):
