@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +76,12 @@ def running_sum(df: DataFrame, order: str, value: str, out: str, by: list[str] =
     before = cuts.withColumn("_t", F.sum("_t").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_t"))
     x = x.join(before, [*by, "_b"])
     return x.withColumn(out, F.col("_t") + F.sum(value).over(Window.partitionBy(*by, "_b").orderBy(order))).drop("_b", "_t")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share: spark.checkpoint.dir, else the warehouse, else (in local mode) one of our own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        where = tempfile.mkdtemp(prefix="fieldspan-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+    return f"{(where or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/fieldspan/{uuid.uuid4().hex}/{name}"

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -167,7 +168,7 @@ def _fitted(spec: ModelSpec, key, fit: Callable, n_train: int) -> dict:
     row = dict(zip(_UNIT, key))
     try:
         fitted = fit(json.loads(row["cfg"]))
-        return row | {"status": "success", "error": None, "n_params": spec.count_params(fitted), "n_train": n_train, "model": pickle.dumps(fitted)}
+        return row | {"status": "success", "error": None, "n_params": spec.count_params(fitted), "n_train": n_train, "model": cloudpickle.dumps(fitted)}
     except _FAILURES as e:
         return row | {"status": "error", "error": repr(e), "n_params": None, "n_train": None, "model": None}
 

@@ -232,3 +232,6 @@ def conformal_by_fold(s, d):
 JOIN ce ON ce."row" = (o_orderkey % 40)::INT + dr AND ce.col = ((o_orderkey // 7) % 40)::INT + dc GROUP BY 1, 2) GROUP BY 1""")
 def patch_valid(s, d):
     return _patches(s, d).groupBy("sample_id").agg(F.count_if("valid").alias("n_valid"))
+
+
+from . import final_queries  # noqa: E402, F401  (these join as well)

@@ -6,10 +6,10 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import haversine, laea
+from ..functions import haversine, laea, running_sum
 
 
 def equal_area_blocks(df: DataFrame, size_km: float, lon0: float, lat0: float) -> DataFrame:
@@ -48,26 +48,51 @@ def correlogram(df: DataFrame, breaks: list[float], lonlat: bool = False) -> Dat
     return sums.crossJoin(F.broadcast(m)).select("class", "n_pairs", (F.col("_i") / F.col("_v")).alias("moran"), (F.lit(-1.0) / (F.col("_n") - 1)).alias("expected"))
 
 
-def block_bootstrap(df: DataFrame, block: str, n_boot: int = 200, seed: int = 42, conf: float = 0.95) -> DataFrame:
-    """mae, rmse and bias with whole-block bootstrap limits. Only blocks, as sums, are drawn again.
+def _sums(df: DataFrame, block: str, pred: str, weight: str) -> DataFrame:
+    """What the metrics need of each block: sums of errors, and of observations and predictions less the mean observation."""
+    middle = df.agg(F.avg("obs").alias("_c"))
+    o, p = F.col("obs") - F.col("_c"), F.col(pred) - F.col("_c")
+    e = p - o
+    parts = {"n": F.lit(1.0), "a": F.abs(e), "q": e * e, "e": e, "o": o, "p": p, "oo": o * o, "pp": p * p, "op": o * p}
+    s = df.crossJoin(F.broadcast(middle)).groupBy(F.col(block).cast("string").alias("b")).agg(*[F.sum(v).alias(c) for c, v in parts.items()])
+    return s if weight == "profile" else s.select("b", *[(F.col(c) / F.col("n")).alias(c) for c in parts])
 
-    The draws of replicate r are blocks number crc32(seed_r_i) modulo their count, i from 1 to that count.
+
+def _boot_metrics(x: DataFrame, keys: list[str]) -> DataFrame:
+    n = F.col("n")
+    mo, mp = F.col("o") / n, F.col("p") / n
+    vo, vp, c = F.col("oo") / n - mo * mo, F.col("pp") / n - mp * mp, F.col("op") / n - mo * mp
+    ccc = 2 * c / F.nullif(vo + vp + (mo - mp) * (mo - mp), F.lit(0.0))
+    values = {"mae": F.col("a") / n, "rmse": F.sqrt(F.col("q") / n), "bias": F.col("e") / n, "ccc": ccc}
+    return x.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()])).alias("v")).select(*keys, "v.*")
+
+
+def block_bootstrap(df: DataFrame, block: str, n_boot: int = 200, seed: int = 42, conf: float = 0.95, against: str | None = None, weight: str = "profile") -> DataFrame:
+    """mae, rmse, bias and ccc of pred with whole-block bootstrap limits; with `against`, of pred less that column's, on the same draws.
+
+    Only blocks, as sums, are drawn again. Blocks are numbered in the order of their md5; draw i of replicate r is block
+    number (first 8 hex digits of md5(seed_r_i)) modulo their count. weight "block" lets each block count once.
     """
-    e = F.col("pred") - F.col("obs")
-    s = df.groupBy(F.col(block).alias("b")).agg(F.count("*").alias("n"), F.sum(F.abs(e)).alias("a"), F.sum(e * e).alias("q"), F.sum(e).alias("e"))
-    s = s.withColumn("k", F.row_number().over(Window.orderBy("b")) - 1).withColumn("m", F.count("*").over(Window.partitionBy()))
-    draws = s.select("m", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("r"), (F.col("k") + 1).alias("i"))
-    at = F.pmod(F.crc32(F.concat_ws("_", F.lit(str(seed)), "r", "i").cast("binary")), F.col("m")).cast("int")
-    drawn = draws.select("r", at.alias("k")).groupBy("r", "k").agg(F.count("*").alias("w"))
-    r = drawn.join(s, "k").groupBy("r").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n", "a", "q", "e")])
-
-    def rows(x: DataFrame) -> DataFrame:
-        v = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), value.alias("value")) for name, value in (("mae", F.col("a") / F.col("n")), ("rmse", F.sqrt(F.col("q") / F.col("n"))), ("bias", F.col("e") / F.col("n")))]))
-        return x.select(v.alias("v")).select("v.*")
-
-    limits = rows(r).groupBy("metric").agg(F.percentile("value", F.lit((1 - conf) / 2)).alias("lower"), F.percentile("value", F.lit((1 + conf) / 2)).alias("upper"))
-    point = rows(s.agg(*[F.sum(c).alias(c) for c in ("n", "a", "q", "e")])).withColumnRenamed("value", "estimate")
-    return point.join(limits, "metric")
+    sums = ["n", "a", "q", "e", "o", "p", "oo", "pp", "op"]
+    both = ["pred", against] if against else ["pred"]
+    s = None
+    for name in both:
+        part = _sums(df, block, name, weight).withColumn("model", F.lit(name))
+        s = part if s is None else s.unionByName(part)
+    numbers = s.where("model = 'pred'").select("b", F.md5("b").alias("_h"), F.lit(1).alias("_1"))
+    numbers = running_sum(numbers, "_h", "_1", "_k").select("b", (F.col("_k") - 1).alias("k"))
+    count = numbers.agg(F.count("*").alias("m"))
+    draws = numbers.crossJoin(F.broadcast(count)).select("m", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("r"), (F.col("k") + 1).alias("i"))
+    code = F.conv(F.substring(F.md5(F.concat_ws("_", F.lit(str(seed)), F.col("r").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
+    drawn = draws.select("r", (code % F.col("m")).alias("k")).groupBy("r", "k").agg(F.count("*").alias("w"))
+    again = drawn.join(numbers, "k").join(s, "b").groupBy("r", "model").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in sums])
+    reps = _boot_metrics(again, ["r", "model"])
+    point = _boot_metrics(s.groupBy("model").agg(*[F.sum(c).alias(c) for c in sums]), ["model"])
+    if against:
+        less = lambda x, keys: x.groupBy(*keys).agg((F.max(F.when(F.col("model") == "pred", F.col("value"))) - F.max(F.when(F.col("model") == against, F.col("value")))).alias("value"))
+        reps, point = less(reps, ["r", "metric"]), less(point, ["metric"])
+    limits = reps.groupBy("metric").agg(F.percentile("value", F.lit((1 - conf) / 2)).alias("lower"), F.percentile("value", F.lit((1 + conf) / 2)).alias("upper"))
+    return point.select("metric", F.col("value").alias("estimate")).join(limits, "metric")
 
 
 def _in_blocks(df: DataFrame, cols: list[str], rows: int, blocks_of: str) -> DataFrame:

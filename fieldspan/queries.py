@@ -397,7 +397,24 @@ def spatial_correlogram(s, d):
     return spatial.correlogram(points(s, d).withColumnRenamed("sample_id", "id"), [0.0, 1.0, 2.0, 3.0])
 
 
-@query()
+def _boot(sums, n_boot):
+    """SQL of block bootstrap rows (metric, estimate, lower, upper) of a table s (b and the sums)."""
+    names = ("n", "a", "q", "e", "o", "p", "oo", "pp", "op")
+    total = ", ".join(f"sum({c}) AS {c}" for c in names)
+    drawn = ", ".join(f"sum({c} * w) AS {c}" for c in names)
+    ccc = "2 * (op / n - o / n * p / n) / (oo / n - (o / n) ** 2 + pp / n - (p / n) ** 2 + (o / n - p / n) ** 2)"
+    rows = f"unnest([{{'metric': 'mae', 'value': a / n}}, {{'metric': 'rmse', 'value': sqrt(q / n)}}, {{'metric': 'bias', 'value': e / n}}, {{'metric': 'ccc', 'value': {ccc}}}]) AS z"
+    return f""", {sums}, nb AS (SELECT b, row_number() OVER (ORDER BY md5(b)) - 1 AS k, count(*) OVER () AS m FROM s),
+    dw AS (SELECT r, k, count(*) AS w FROM (SELECT r, ('0x' || substr(md5('42_' || r || '_' || (k + 1)), 1, 8))::BIGINT % m AS k FROM nb, (SELECT unnest(range(1, {n_boot + 1})) AS r)) GROUP BY 1, 2),
+    rp AS (SELECT z.metric, z.value FROM (SELECT {rows} FROM (SELECT r, {drawn} FROM dw JOIN nb USING (k) JOIN s USING (b) GROUP BY r))),
+    po AS (SELECT z.metric, z.value FROM (SELECT {rows} FROM (SELECT {total} FROM s)))
+    SELECT metric, round(max(po.value), 6) AS estimate, round(quantile_cont(rp.value, 0.025), 6) AS lower, round(quantile_cont(rp.value, 0.975), 6) AS upper FROM po JOIN rp USING (metric) GROUP BY metric"""
+
+
+_SUMS = """sum(1.0::DOUBLE) AS n, sum(abs(p - o)) AS a, sum((p - o) ** 2) AS q, sum(p - o) AS e, sum(o) AS o, sum(p) AS p, sum(o * o) AS oo, sum(p * p) AS pp, sum(o * p) AS op"""
+
+
+@query(_boot(f"s AS (SELECT site::VARCHAR AS b, {_SUMS} FROM (SELECT site, obs - (SELECT avg(obs) FROM o) AS o, pred - (SELECT avg(obs) FROM o) AS p FROM o) GROUP BY 1)", 200))
 def block_bootstrap(s, d):
     return spatial.block_bootstrap(obs(s, d), "site")
 
