@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite, only_finite, running_sum
@@ -21,30 +21,71 @@ def _score(difficulty: str | None) -> Column:
     return e / F.col(difficulty) if difficulty else e
 
 
-def conformal_point(df: DataFrame, alpha: float = 0.1, by: list[str] = (), difficulty: str | None = None) -> DataFrame:
-    """The ceil((n + 1)(1 - alpha))-th smallest score, infinite beyond n.
+def _coarse(s: Column) -> Column:
+    """A whole number that does not fall as a score rises: 64 steps for each doubling, so a few thousand in all."""
+    return F.when(s > 0, F.floor(F.log2(s) * 64)).otherwise(F.lit(-1 << 20)).cast("int")
+
+
+def _fine(s: Column) -> Column:
+    """Where in its coarse step a score is: 4096 equal parts."""
+    low = F.pow(F.lit(2.0), _coarse(s) / F.lit(64.0))
+    return F.when(s > 0, F.least(F.lit(4095), F.greatest(F.lit(0), F.floor((s / low - 1) / (2 ** (1 / 64) - 1) * 4096)))).otherwise(F.lit(0)).cast("int")
+
+
+def _step_of(sums: DataFrame, need: DataFrame, by: list[str], step: str) -> DataFrame:
+    """(by, _need, step, _before): the step in which the sums _t of a group reach _need less what lies before; some thousand steps a group."""
+    upto = F.sum("_t").over(Window.partitionBy(*by).orderBy(step))
+    at = sums.withColumn("_upto", upto).join(need, by)
+    before = F.coalesce(F.col("_before"), F.lit(0)) if "_before" in need.columns else F.lit(0)
+    # Sums of fractions may fall short by a rounding step; then it is the last step.
+    reached = F.min(F.when(before + F.col("_upto") >= F.col("_need"), F.struct(step, (before + F.col("_upto") - F.col("_t")).alias("b"))))
+    at = at.groupBy(*by, "_need").agg(F.coalesce(reached, F.max(F.struct(step, (before + F.col("_upto") - F.col("_t")).alias("b")))).alias("_at"))
+    return at.select(*by, "_need", F.col(f"_at.{step}").alias(step), F.col("_at.b").alias("_before"))
+
 
-    Scores are counted by value first, so ties are one row and the running count is over values.
+def _least_reaching(s: DataFrame, coarse: DataFrame, need: DataFrame, by: list[str], apart: Column | None = None) -> DataFrame:
+    """(by, q): the least score _s whose weights _m, summed over all scores up to it, reach _need of its group.
+
+    The sums of coarse steps, combined before the shuffle, tell the step in which the sum is reached; sums of 4096 parts of
+    that step tell the part; only the scores of that part are put in order. s has _s, _m, _c and by, or what tells by `apart`.
     """
-    s = only_finite(df.withColumn("_s", _score(difficulty)), "_s").groupBy(*by, "_s").agg(F.count("*").alias("_m"))
-    n = s.groupBy(*by).agg(F.sum("_m").alias("n"))
-    s = running_sum(s, "_s", "_m", "_c", by)
-    s = s.join(n, list(by)) if by else s.crossJoin(F.broadcast(n))
-    k = F.ceil((F.col("n") + 1) * F.lit(1 - alpha)).cast("long")
-    return s.groupBy(*by, "n").agg(F.min(F.when(F.col("_c") >= k, F.col("_s"))).alias("q")).select(*by, "n", k.alias("k"), F.coalesce("q", F.lit(INF)).alias("q"))
+    first = _step_of(coarse, need, by, "_c")
+    on = [*([] if apart is not None else by), "_c"]
+    inside = s.join(first, on)
+    inside = (inside.where(apart) if apart is not None else inside).withColumn("_x", _fine(F.col("_s")))
+    parts = inside.groupBy(*by, "_x").agg(F.sum("_m").alias("_t"))
+    second = _step_of(parts, first.select(*by, "_need", "_before"), by, "_x").withColumnsRenamed({"_need": "_wanted", "_before": "_below"})
+    last = inside.join(second, [*by, "_x"]).groupBy(*by, "_s", "_wanted", "_below").agg(F.sum("_m").alias("_t"))
+    upto = F.col("_below") + F.sum("_t").over(Window.partitionBy(*by).orderBy("_s"))
+    return last.withColumn("_r", upto).groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("_r") >= F.col("_wanted"), F.col("_s"))), F.max("_s")).alias("q"))
+
+
+def conformal_point(df: DataFrame, alpha: float = 0.1, by: list[str] = (), difficulty: str | None = None) -> DataFrame:
+    """The ceil((n + 1)(1 - alpha))-th smallest score of each group, infinite beyond n."""
+    keys = list(by) or ["_all"]
+    s = only_finite(df.withColumn("_s", _score(difficulty)), "_s")
+    s = (s if by else s.withColumn("_all", F.lit(0))).select(*keys, "_s", F.lit(1).alias("_m")).withColumn("_c", _coarse(F.col("_s")))
+    coarse = s.groupBy(*keys, "_c").agg(F.sum("_m").alias("_t"))
+    n = coarse.groupBy(*keys).agg(F.sum("_t").alias("n")).withColumn("k", F.ceil((F.col("n") + 1) * F.lit(1 - alpha)).cast("long"))
+    q = _least_reaching(s, coarse, n.where("k <= n").select(*keys, F.col("k").alias("_need")), keys)
+    out = n.join(q, keys, "left").select(*by, "n", "k", F.coalesce("q", F.lit(INF)).alias("q"))
+    if by:
+        return out
+    # A table without scores still has its row, as an aggregate has.
+    return out.agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"), F.coalesce(F.max("k"), F.lit(1).cast("long")).alias("k"), F.coalesce(F.max("q"), F.lit(INF)).alias("q"))
 
 
 def conformal_group(df: DataFrame, group: str, alpha: float = 0.1, difficulty: str | None = None) -> DataFrame:
     """Each group weighs the same: the first score whose weights add up to (1 - alpha)(m + 1)."""
     s = only_finite(df.withColumn("_s", _score(difficulty)), "_s").select(F.col(group).alias("_g"), "_s")
-    size = s.groupBy("_g").agg((F.lit(1.0) / F.count("*")).alias("_w"))
-    m = size.agg(F.count("*").alias("m"))
-    v = s.join(size, "_g").groupBy("_s").agg(F.sum("_w").alias("_w"))
-    v = running_sum(v, "_s", "_w", "_c").crossJoin(F.broadcast(m))
+    size = s.groupBy("_g").agg((F.lit(1.0) / F.count("*")).alias("_m"))
+    m = size.agg(F.lit(0).alias("_all"), F.count("*").alias("m"))
     target = F.lit(1 - alpha) * (F.col("m") + 1)
     tol = F.lit(1e-9) * (F.col("m") + 1)
-    q = F.min(F.when((F.col("_c") >= target - tol) & (target <= F.col("m") + tol), F.col("_s")))
-    return v.groupBy("m").agg(q.alias("q")).select("m", F.coalesce("q", F.lit(INF)).alias("q"))
+    need = m.where(target <= F.col("m") + tol).select("_all", (target - tol).alias("_need"))
+    s = s.join(size, "_g").select(F.lit(0).alias("_all"), "_s", "_m").withColumn("_c", _coarse(F.col("_s")))
+    q = _least_reaching(s, s.groupBy("_all", "_c").agg(F.sum("_m").alias("_t")), need, ["_all"])
+    return m.join(q, "_all", "left").select("m", F.coalesce("q", F.lit(INF)).alias("q"))
 
 
 def conformal_interval(df: DataFrame, cal: DataFrame, difficulty: str | None = None, lower_limit: float = -INF, on: list[str] = ()) -> DataFrame:
@@ -56,10 +97,22 @@ def conformal_interval(df: DataFrame, cal: DataFrame, difficulty: str | None = N
 
 
 def conformal_cv(df: DataFrame, alpha: float = 0.1, fold: str = "fold") -> DataFrame:
-    """Intervals of each fold calibrated on all other folds; folds are few, so each row is scored once for each other fold."""
-    folds = df.select(F.col(fold).alias("_f")).distinct()
-    others = df.crossJoin(F.broadcast(folds)).where(F.col(fold) != F.col("_f"))
-    cal = conformal_point(others, alpha, ["_f"]).select(F.col("_f").alias(fold), "q")
+    """Intervals of each fold calibrated on all other folds.
+
+    The coarse sums of the others are those of all less the fold's own; only scores of the step in which a fold's sum is
+    reached are copied to that fold, so the work does not grow with the number of folds.
+    """
+    s = only_finite(df.withColumn("_s", _score(None)), "_s").select(F.col(fold).alias("_own"), "_s", F.lit(1).alias("_m")).where("_own is not null").withColumn("_c", _coarse(F.col("_s")))
+    own = s.groupBy("_own", "_c").agg(F.sum("_m").alias("_t"))
+    folds = own.groupBy(F.col("_own").alias("_f")).agg(F.sum("_t").alias("_mine"))
+    every = own.groupBy("_c").agg(F.sum("_t").alias("_t"))
+    # A row for each fold and coarse step: some thousand steps a fold.
+    coarse = every.crossJoin(folds.select("_f")).join(own.select(F.col("_own").alias("_f"), "_c", F.col("_t").alias("_o")), ["_f", "_c"], "left")
+    coarse = coarse.select("_f", "_c", (F.col("_t") - F.coalesce("_o", F.lit(0))).alias("_t"))
+    n = folds.crossJoin(F.broadcast(folds.agg(F.sum("_mine").alias("_n")))).select("_f", (F.col("_n") - F.col("_mine")).alias("n"))
+    need = n.withColumn("_need", F.ceil((F.col("n") + 1) * F.lit(1 - alpha)).cast("long")).where("_need <= n").select("_f", "_need")
+    q = _least_reaching(s, coarse, need, ["_f"], F.col("_own") != F.col("_f"))
+    cal = n.where("n > 0").join(q, "_f", "left").select(F.col("_f").alias(fold), F.coalesce("q", F.lit(INF)).alias("q"))
     return conformal_interval(df, cal, on=[fold])
 
 

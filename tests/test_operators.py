@@ -140,3 +140,18 @@ def test_the_unit_of_dissimilarity_is_of_all_pairs(spark):
     got = spatial.di_reference(spark.createDataFrame([(i, [float(z) for z in r]) for i, r in enumerate(v)], "id long, v array<double>")).first()
     want = sum(np.sqrt(((v[i + 1 :] - r) ** 2).sum(1)).sum() for i, r in enumerate(v))
     assert got["n_pairs"] == 2300 * 2299 // 2 and got["avg_dist"] == pytest.approx(want / got["n_pairs"])
+
+
+def test_order_statistics_of_odd_scores(spark):
+    rng = np.random.default_rng(12)
+    score = np.r_[np.zeros(40), np.full(300, 2.5), rng.lognormal(0, 6, 500), np.full(200, 1e-300), [1e300]]
+    fold = rng.integers(0, 3, len(score))
+    df = spark.createDataFrame(list(zip(fold.tolist(), score.tolist(), [0.0] * len(score))), "fold int, obs double, pred double")
+    for alpha in (0.01, 0.1, 0.35, 0.5, 0.62, 0.8, 0.97):
+        k = math.ceil((len(score) + 1) * (1 - alpha))
+        assert intervals.conformal_point(df, alpha).first()["q"] == np.sort(score)[k - 1]
+        got = {r["fold"]: r["width"] / 2 for r in intervals.conformal_cv(df, alpha).select("fold", "width").distinct().collect()}
+        for f in range(3):
+            others = np.sort(score[fold != f])
+            assert got[f] == others[math.ceil((len(others) + 1) * (1 - alpha)) - 1]
+    assert tuple(intervals.conformal_point(df.where("false")).first()) == (0, 1, math.inf)
