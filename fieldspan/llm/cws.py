@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a range of documents, and coarse ranges whose borders are literals.
-RANGE_ROWS, COARSE = 4096, 64
+RANGE_ROWS, COARSE = 1024, 64
 #: Samples of a text; bits of the code of a sample.
 SAMPLES, CODE_BITS = 128, 16
 #: About so many elements are dealt before it is looked whether every sample has one.
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
     fingerprints is the share of equal samples, and its expectation is the generalised Jaccard similarity, for texts
     of any weights and of any number of terms.
 
-    Texts are shuffled once, by ranges of doc_id of about 4096 rows; the next document is a window over a range,
+    Texts are shuffled once, by ranges of doc_id of about 1024 rows; the next document is a window over a range,
     which also has the first row of the next range as a guest. All of a text is sampled within its row.
 
     Null text is empty; texts without words have an empty fingerprint, and two such have likeness 1. Equal texts
