@@ -41,6 +41,23 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_epochs: flo
     return one.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_x"), F.lit(float("inf"))) * F.col("_w")).alias("target"))
 
 
+def _hash(doc_id: str, text: str) -> Column:
+    """The hash that a row is taken by: hex digits of an md5 of doc_id and text."""
+    return F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit("")))), 1, DIGITS * LEVELS)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    hexed = _hash("doc_id", "text")
+    keys = [F.substring(hexed, 1 + DIGITS * i, DIGITS).alias(k) for i, k in enumerate(_KEYS)]
+    return keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keys), "mix_rows")
+
+
+def _copies(h: Column, max_epochs: int) -> Column:
+    """How often a row is taken: its source's full epochs, and once more below the source's threshold."""
+    more = (h < F.col("_edge")) | ((h == F.col("_edge")) & F.col("_take"))
+    return F.least(F.col("_full") + F.coalesce(more, F.lit(False)).cast("int"), F.lit(int(max_epochs))).cast("int")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """Number of copies of each document such that each source's words come near its target.
 
@@ -57,14 +74,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
     so reruns agree; repeated rows share one hash and are taken alike. An empty table gives an empty result.
     Other columns are ignored.
     """
-    hexed = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("text"), F.lit(""))))
-    rows = keep(
-        docs.select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"),
-            *[F.substring(hexed, 1 + DIGITS * i, DIGITS).alias(k) for i, k in enumerate(_KEYS)],
-        ),
-        "mix_rows",
-    )
+    rows = _rows(docs)
+    out = rows.join(_limits(rows, weights, max_epochs), F.col("source").eqNullSafe(F.col("_s")))
+    h = F.concat(*[F.col(k) for k in _KEYS])
+    copies = _copies(h, max_epochs)
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), h.alias("hash"))
+
+
+def _limits(rows: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
+    """A row a source: _s, source_size, target, _full (epochs), _edge (the leaf in which the budget ends) and _take (whether it joins)."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes, weights, max_epochs)
     s, t = F.col("source_size"), F.col("target")
@@ -94,25 +112,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
     take_leaf = 2 * F.col("_before") + F.col("_leaf") <= 2 * F.col("_budget")
     edge = F.concat(*[F.col(k) for k in _KEYS])
     limits = edges.select("_s", edge.alias("_edge"), take_leaf.alias("_take"))
-    plan = small(keep(plan.join(small(limits), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_s"), "mix_limits"))
-    h = F.concat(*[F.col(k) for k in _KEYS])
-    more = (h < F.col("_edge")) | ((h == F.col("_edge")) & F.col("_take"))
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    copies = (F.col("_full") + F.coalesce(more, F.lit(False)).cast("int")).cast("int")
-    copies = F.least(copies, F.lit(int(max_epochs)))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), h.alias("hash"))
+    return small(keep(plan.join(small(limits), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_s"), "mix_limits"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """The rows of docs, each as often as mix() takes it (rows it does not take go; order is free). All columns pass through."""
-    plan = mix(docs, weights, max_epochs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("hash").alias("_hash"), "copies").distinct()
-    plan = keep(plan, "mix_copies")
-    # Rows go through as one struct, so that no column of theirs can clash.
+    # Rows go through as one struct, so that no column of theirs can clash; what meets them is a row a source.
     packed = docs.select(F.struct("*").alias("_all"))
-    hexed = F.md5(F.concat_ws(":", F.coalesce(F.col("_all.doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("_all.text"), F.lit(""))))
-    same = F.col("_all.doc_id").eqNullSafe(F.col("_id")) & F.col("_all.source").eqNullSafe(F.col("_src")) & (F.substring(hexed, 1, DIGITS * LEVELS) == F.col("_hash"))
-    out = packed.join(small(plan), same).select("_all", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-    return out.select("_all.*")
+    out = packed.join(_limits(_rows(docs), weights, max_epochs), F.col("_all.source").eqNullSafe(F.col("_s")))
+    out = out.select("_all", _copies(_hash("_all.doc_id", "_all.text"), max_epochs).alias("_n")).where("_n > 0")
+    return out.select("_all", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select("_all.*")
 
 
 def _all(conditions: list):
