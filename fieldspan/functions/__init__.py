@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -85,3 +86,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
         where = tempfile.mkdtemp(prefix="fieldspan-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
     return f"{(where or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/fieldspan/{uuid.uuid4().hex}/{name}"
+
+
+def mollweide(lon: Column, lat: Column, radius: float = 6378.137) -> tuple[Column, Column]:
+    """Equal-area kilometres east and north of (0, 0), from degrees. The auxiliary angle comes from ten Newton steps."""
+    phi = F.radians(lat)
+    step = lambda t, _: t - (2 * t + F.sin(2 * t) - math.pi * F.sin(phi)) / (2 + 2 * F.cos(2 * t))
+    # At the poles the slope is zero, and the angle is known.
+    t = F.when(F.abs(lat) >= 90, F.signum(lat) * (math.pi / 2)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(10)), phi, step))
+    return 2 * math.sqrt(2) / math.pi * radius * F.radians(lon) * F.cos(t), math.sqrt(2) * radius * F.sin(t)

@@ -27,21 +27,70 @@ def donors(df: DataFrame, draws: int, seed: int = 42, strata: str | None = None)
     return x.withColumn("place", F.col("place") % F.col("n") + 1).join(after, [*by, "place"]).select("draw", "sample_id", "donor")
 
 
-def permutation_importance(df: DataFrame, model: str, fitted, names: list[str], draws: int = 5, seed: int = 42, strata: str | None = None, label: str = "m0") -> DataFrame:
+def permutation_importance(df: DataFrame, model: str, fitted, names: list[str], draws: int = 5, seed: int = 42, strata: str | None = None, label: str = "m0", groups: list[list[int]] | None = None) -> DataFrame:
     """model, variable, draw, drop: how much ccc falls when a variable comes from each row's donor.
 
-    df: sample_id, x, y. Rows with their donor's inputs are one table; variables are swapped in batches of it.
+    df: sample_id, x, y. groups: the places in x of each name, which move together; by default name i is place i. Rows with their donor's inputs are one table; variables are swapped in batches of it.
     """
     d = donors(df, draws, seed, strata)
     both = df.select("sample_id", "x", "y").join(d, "sample_id").join(df.select(F.col("sample_id").alias("donor"), F.col("x").alias("x2")), "donor")
+    groups = groups or [[i] for i in range(len(names))]
     every = both.withColumn("variable", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
-    swapped = F.transform("x", lambda v, i: F.when(i == F.col("variable"), F.get("x2", i)).otherwise(v))
+    places = F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), F.col("variable"))
+    swapped = F.transform("x", lambda v, i: F.when(F.array_contains(places, i), F.get("x2", i)).otherwise(v))
     scored = predict_units(every.select("draw", "variable", F.col("y").alias("obs"), swapped.alias("x")), model, fitted)
     base = calc_metrics(predict_units(df.select(F.col("y").alias("obs"), "x"), model, fitted)).select(F.col("ccc").alias("base"))
     out = calc_metrics(scored, ["draw", "variable"]).crossJoin(F.broadcast(base))
     return out.select(F.lit(label).alias("model"), F.get(F.array(*map(F.lit, names)), F.col("variable")).alias("variable"), "draw", (F.col("base") - F.col("ccc")).alias("drop"))
 
 
+def context_groups(window: int, bands: list[str], by: str = "ring", per_variable: bool = False) -> tuple[list[str], list[list[int]]]:
+    """Names and places of the context of patches (bands one after another): rings around the centre, or square windows up to them."""
+    h = window // 2
+    ring = np.maximum(*np.abs(np.mgrid[-h : h + 1, -h : h + 1])).ravel()
+    names, groups = [], []
+    for label, chosen in [(f"{b}_", [k]) for k, b in enumerate(bands)] if per_variable else [("", range(len(bands)))]:
+        for r in range(h + 1):
+            cells = np.flatnonzero(ring == r if by == "ring" else ring <= r)
+            names.append(f"{label}ring_{r}" if by == "ring" else f"{label}window_{2 * r + 1}")
+            groups.append([int(k * window * window + c) for k in chosen for c in cells])
+    return names, groups
+
+
+def context_importance(df: DataFrame, model: str, fitted, window: int, bands: list[str], by: str = "ring", per_variable: bool = False, draws: int = 5, seed: int = 42) -> DataFrame:
+    """permutation_importance of the rings (or windows) of patches instead of variables: how far around a point the model looks."""
+    names, groups = context_groups(window, bands, by, per_variable)
+    return permutation_importance(df, model, fitted, names, draws, seed, groups=groups)
+
+
+def sampled_shapley(df: DataFrame, model: str, fitted, background: list[list[float]], orders: int = 32, seed: int = 42) -> DataFrame:
+    """id, player, phi: Shapley values over random orders of the players, each with its reverse; for more than 14 players.
+
+    All rows meet the same orders. The values of a row add up to its prediction less the mean over the background.
+    """
+    spec, b = get_model(model), np.array(background, float)
+    players, rng = b.shape[1], np.random.default_rng(seed)
+    some = [rng.permutation(players) for _ in range(-(-orders // 2))]
+    walks = np.array([w for o in some for w in (o, o[::-1])])
+
+    def run(batches):
+        for t in batches:
+            for i in range(0, len(t), 64):
+                x = np.stack(t.x.iloc[i : i + 64].to_numpy()).astype(float)
+                phi = np.zeros_like(x)
+                for walk in walks:
+                    on = np.zeros((players + 1, players), bool)
+                    for k, p in enumerate(walk):
+                        on[k + 1 :, p] = True
+                    z = np.where(on[None, :, None, :], x[:, None, None, :], b[None, None])
+                    v = np.asarray(spec.predict(fitted, z.reshape(-1, players))).reshape(len(x), players + 1, len(b)).mean(2)
+                    phi[:, walk] += np.diff(v, axis=1)
+                phi /= len(walks)
+                yield pd.DataFrame({"id": np.repeat(t.sample_id.iloc[i : i + 64].to_numpy(), players), "player": np.tile(np.arange(players), len(x)), "phi": phi.ravel()})
+
+    return df.select("sample_id", "x").mapInPandas(run, "id long, player int, phi double")
+
+
 def refit_importance(df: DataFrame, model: str, cfg: dict, names: list[str], folds: list[int], seed: int = 42, max_rows: int = 200_000) -> DataFrame:
     """variable, importance: the fall of the mean validation ccc when the model is fitted without each variable."""
     grid = [cfg] + [cfg | {"without": i} for i in range(len(names))]

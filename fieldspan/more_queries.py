@@ -235,3 +235,4 @@ def patch_valid(s, d):
 
 
 from . import final_queries  # noqa: E402, F401  (these join as well)
+from . import check_queries  # noqa: E402, F401

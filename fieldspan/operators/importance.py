@@ -30,6 +30,14 @@ def compare_importance(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.withColumn("mean_rank", (F.col("rank_a") + F.col("rank_b")) / 2).drop("ia", "ib")
 
 
+def rank_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """n variables of both tables, and Spearman's correlation of their importances (ties share their mean rank)."""
+    x = a.select("variable", F.col("importance").alias("ia")).join(b.select("variable", F.col("importance").alias("ib")), "variable")
+    for c in ("ia", "ib"):
+        x = x.withColumn(f"_{c}", F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2)
+    return x.agg(F.count("*").alias("n"), F.corr("_ia", "_ib").alias("spearman"))
+
+
 def ale_accumulate(d: DataFrame) -> DataFrame:
     """variable, bin, n, diff (mean local difference) -> the accumulated, centred effect at each bin's upper edge."""
     run = Window.partitionBy("variable").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -68,6 +68,21 @@ def t_interval(mean: float, se: float, df: int, conf: float = 0.95) -> tuple[flo
     return mean - low * se, mean + low * se, 2 * tail(abs(mean / se)) if se else 0.0
 
 
+def paired_interval(a: DataFrame, b: DataFrame, metric: str, conf: float = 0.95) -> DataFrame:
+    """paired_test with confidence limits of the mean difference and the p of its being 0. Needs three pairs, each once.
+
+    Units are few (one a configuration, fold and seed); only the row of sums comes to the driver.
+    """
+    for name, family in (("first", a), ("second", b)):
+        if family.groupBy("fold", "seed").count().where("count > 1").limit(1).count():
+            raise ValueError(f"the {name} family has a fold and seed more than once: choose one configuration")
+    r = paired_test(a, b, metric).first()
+    if r["n_pairs"] < 3:
+        raise ValueError(f"{r['n_pairs']} pairs: at least three are needed")
+    low, high, p = t_interval(r["mean_diff"], r["se"], r["n_pairs"] - 1, conf)
+    return a.sparkSession.createDataFrame([(r["n_pairs"], r["mean_diff"], r["se"], low, high, p)], "n_pairs long, mean_diff double, se double, lower double, upper double, p double")
+
+
 def rank_comparison(units: DataFrame) -> DataFrame:
     """Units by val_ccc descending, then val_mae; the rank counts successes only."""
     order = Window.orderBy(F.col("val_ccc").desc_nulls_last(), F.col("val_mae").asc_nulls_last(), "unit_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -175,3 +176,45 @@ def aoa_threshold(cv_di: DataFrame, k_iqr: float = 1.5) -> DataFrame:
 
 def inside_aoa(di: DataFrame, threshold: DataFrame) -> DataFrame:
     return di.crossJoin(F.broadcast(threshold)).withColumn("inside", F.col("di") <= F.col("threshold"))
+
+
+def scaled_vectors(rows: DataFrame, center: list[float], scale: list[float], weights: list[float] | None = None) -> DataFrame:
+    """v of rows as weighted, scaled channels; null where a channel is missing or not finite."""
+    parts = [F.array(*[F.lit(float(z)) for z in c]) for c in (center, scale, weights or [1.0] * len(center))]
+    at = lambda k, i: F.get(parts[k], i)
+    v = F.transform(F.col("v").cast("array<double>"), lambda c, i: (c - at(0, i)) / at(1, i) * at(2, i))
+    whole = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c) < float("inf"))) & (F.size("v") == len(center))
+    return rows.withColumn("v", F.when(whole, v))
+
+
+class Reference(NamedTuple):
+    """What the dissimilarity of new rows is measured by."""
+
+    train: DataFrame
+    unit: DataFrame
+    threshold: DataFrame
+    center: list[float]
+    scale: list[float]
+    weights: list[float] | None
+
+
+def aoa_reference(points: DataFrame, center: list[float], scale: list[float], weights: list[float] | None = None, k_iqr: float = 1.5) -> Reference:
+    """The reference of points (id, v, fold of validation): whole training vectors, their mean distance and the threshold."""
+    train = scaled_vectors(points, center, scale, weights).where("v is not null").select("id", "v", "fold")
+    unit = di_reference(train).select("avg_dist")
+    return Reference(train, unit, aoa_threshold(cross_fold_di(train, unit), k_iqr), center, scale, weights)
+
+
+def aoa_di(ref: Reference, rows: DataFrame) -> DataFrame:
+    """id, di of raw rows (id, v); null where a channel is missing."""
+    x = scaled_vectors(rows, ref.center, ref.scale, ref.weights).select("id", "v")
+    known = dissimilarity(ref.train, x.where("v is not null"), ref.unit)
+    return known.unionByName(x.where("v is null").select("id", F.lit(None).cast("double").alias("di")))
+
+
+def aoa_report(di: DataFrame, threshold: DataFrame) -> DataFrame:
+    """Rows with a dissimilarity, share inside the threshold, three quantiles; warn if less than half is inside."""
+    x = di.where("di is not null").crossJoin(F.broadcast(threshold))
+    q = F.percentile("di", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    x = x.agg(F.count("*").alias("n"), F.max("threshold").alias("threshold"), F.avg((F.col("di") <= F.col("threshold")).cast("int")).alias("share_inside"), q.alias("q"))
+    return x.select("n", "threshold", "share_inside", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q05", "q50", "q95"))], (F.col("share_inside") < 0.5).alias("warn"))
