@@ -15,8 +15,8 @@ from ._work import fresh_path, keep
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Date of all records: the pages have none, and reruns are to agree.
 DATE = "2024-01-01T00:00:00Z"
-#: Records of an archive file at most.
-FILE_RECORDS = 5000
+#: Records of an archive file at most, and payload bytes above which records get files of their own.
+FILE_RECORDS, LARGE = 5000, 1 << 18
 
 
 def with_digest(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -35,16 +35,16 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, digest, bytes) -> the same with refers_to: the response that has the payload, null for a response.
 
     Of records with equal digests the one with the largest page_id is the response. Headers only: the largest page of
-    a digest is found by sums combined before the shuffle, and joined to the headers.
+    a digest is found by sums combined before the shuffle, and joined to the headers, which are read twice.
     """
-    heads = keep(pages.select("page_id", "digest", "bytes"), "warc_heads")
+    heads = pages.select("page_id", "digest", "bytes")
     owners = keep(heads.where((F.col("bytes") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("_owner"), F.count("*").alias("_n")).where("_n > 1").select(F.col("digest").alias("_d"), "_owner"), "warc_owners")
     refers = F.when((F.col("bytes") >= min_bytes) & (F.col("page_id") < F.col("_owner")), F.col("_owner"))
     return heads.join(owners, F.col("digest") == F.col("_d"), "left").select("page_id", "digest", "bytes", refers.alias("refers_to"))
 
 
-def _record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
+def _record_id(page_id: Column, digest: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), digest, F.lit(">"))
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 0) -> str:
@@ -52,13 +52,17 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> str:
 
     Payloads are shuffled once, by page_id, to meet what was decided on their headers; a revisit has no payload. A
     record ends with two line ends, which is the line separator of Spark's text writer: any file system that
-    Spark writes to will do. Line ends in a url are replaced by spaces.
+    Spark writes to will do. Line ends in a url are replaced by spaces. Only equal rows share a record id.
+
+    A file holds at most FILE_RECORDS records of at most LARGE bytes each, or records above that, as many as make up
+    the same number of bytes at their largest size (one, if that is more). Larger pages are written in a second pass,
+    if there are any.
     """
     spark = pages.sparkSession
     body = F.coalesce("html", F.lit(""))
     raw = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ").alias("url"), body.alias("html"))
-    digested = with_digest(raw, "html", "digest").select("page_id", "digest", F.octet_length("html").cast("long").alias("bytes"))
-    refers = resolve(digested, min_bytes).where("refers_to is not null").select(F.col("page_id").alias("_p"), F.col("refers_to").alias("_to"), F.col("digest").alias("_rd")).distinct()
+    heads = keep(with_digest(raw, "html", "digest").select("page_id", "digest", F.octet_length("html").cast("long").alias("bytes")), "warc_heads")
+    refers = resolve(heads, min_bytes).where("refers_to is not null").select(F.col("page_id").alias("_p"), F.col("refers_to").alias("_to"), F.col("digest").alias("_rd")).distinct()
     rows = with_digest(raw, "html", "_d").join(refers, (F.col("page_id") == F.col("_p")) & (F.col("_d") == F.col("_rd")), "left")
     revisit = F.col("_to").isNotNull()
     block = F.when(revisit, "").otherwise(F.col("html"))
@@ -67,18 +71,24 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> str:
         end,
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"))),
+        F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"), F.col("_d"))),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("_d")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("_to")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("_to"), F.col("_d")))),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
     path = fresh_path(spark, "warc")
-    out = rows.select(F.concat(head, F.lit(end * 2), block).alias("value"))
-    out.write.option("compression", "gzip").option("lineSep", end * 2).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    most = heads.agg(F.max("bytes")).first()[0] or 0
+    parts = [("common", rows, FILE_RECORDS)]
+    if most > LARGE:
+        size = F.octet_length("html")
+        parts = [("common", rows.where(size <= LARGE), FILE_RECORDS), ("large", rows.where(size > LARGE), max(1, FILE_RECORDS * LARGE // most))]
+    for name, part, records in parts:
+        out = part.select(F.concat(head, F.lit(end * 2), block).alias("value"))
+        out.write.option("compression", "gzip").option("lineSep", end * 2).option("maxRecordsPerFile", records).text(f"{path}/{name}")
     return path
 
 
@@ -115,7 +125,7 @@ def _read(batches):
     import hashlib
 
     kinds = {"page_id": pa.int64(), "type": pa.string(), "digest": pa.string(), "to": pa.int64(), "bytes": pa.int64(), "url": pa.string(), "payload": pa.string()}
-    number = lambda x: None if x is None or x == "<urn:page:null>" else int(x[len("<urn:page:") : -1])
+    number = lambda x: None if x is None or x.startswith("<urn:page:null:") else int(x.split(":")[2])
     for batch in batches:
         for data in batch.column("content"):
             rows, size = [], 0
@@ -140,9 +150,9 @@ def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives of a folder: page_id, type, digest, to, bytes, url, payload (null for a revisit).
 
-    Every payload is checked against its digest. An archive is one task's work, and holds at most FILE_RECORDS records.
+    Every payload is checked against its digest. An archive is one task's work; write_archives bounds its size.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(_read, "page_id long, type string, digest string, to long, bytes long, url string, payload string")
 
 

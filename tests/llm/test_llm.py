@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from fieldspan.llm import queries
+from fieldspan.llm import queries, warc
 from fieldspan.llm.components import components
 from fieldspan.llm.cws import fingerprints
 from fieldspan.llm.jaccard_join import bands_for, jaccard_join, without_copies
@@ -395,6 +395,20 @@ def test_warc_of_odd_pages(spark):
     assert warc_round_trip(df.where("false")).collect() == []
 
 
+def test_warc_files_are_bounded_by_bytes_and_records(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", 10)
+    monkeypatch.setattr(warc, "LARGE", 100)
+    pages = [(i, "u", chr(97 + i % 26) * (3 * i if i % 7 else 400 - i)) for i in range(60)] + [(7, "u", "another"), (60, "u", "z" * 5000)]
+    path = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1))
+    sizes, seen = [], []
+    for data in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).collect():
+        got = list(warc.parse(data["content"]))
+        sizes.append((len(got), max((len(block) for _, block in got), default=0)))
+        seen += [f["warc-record-id"] for f, _ in got]
+    assert all(n <= 10 if big <= 100 else n == 1 for n, big in sizes)
+    assert len(seen) == len(set(seen)) == len(pages)
+
+
 def test_quality_of_labelled_documents(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     got = [(r.keep, labels[r.doc_id]) for r in queries.op3_quality_classifier(spark, sf_dir).collect() if r.doc_id in labels]
