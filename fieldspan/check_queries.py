@@ -124,3 +124,10 @@ def context_importance(s, d):
 def sampled_shapley(s, d):
     x = features(s, d)
     return explain.sampled_shapley(x, "mlp", _model(s, d), explain.background_rows(x, 4), orders=8)
+
+
+@query()
+def gate_summary(s, d):
+    x = order_patches(s, d)
+    fitted = models.fit_one(x, "cnn", {"windows": [1, 3], "channels": [4], "epochs": 8})
+    return explain.gate_summary(explain.gate_values(x, fitted))

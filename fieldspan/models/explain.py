@@ -91,6 +91,44 @@ def sampled_shapley(df: DataFrame, model: str, fitted, background: list[list[flo
     return df.select("sample_id", "x").mapInPandas(run, "id long, player int, phi double")
 
 
+def gate_values(df: DataFrame, fitted) -> DataFrame:
+    """sample_id, mean and values of the gate between two branches, the norms of their embeddings, their ratio and cosine.
+
+    fitted: a model of two windows, as the units `cnn` make; others have no gate. In the mean 1 is the small window alone.
+    """
+    model, cfg = fitted
+    gated = [layer for layer in model.net.every() if isinstance(layer, network.TwoBranches)]
+    if not gated:
+        raise ValueError("a model of one window has no gate")
+    window = max(cfg["windows"])
+
+    def run(batches):
+        two = next(layer for layer in model.net.every() if isinstance(layer, network.TwoBranches))
+        for t in batches:
+            if not len(t):
+                continue
+            x = np.stack(t.x.to_numpy()).astype(float)
+            network.predict(model.net, model.z(x.reshape(len(x), -1, window, window)), len(x))
+            a, b = (np.sqrt((v * v).sum(1)) for v in (two.a, two.b))
+            yield pd.DataFrame({
+                "sample_id": t.sample_id.to_numpy(), "mean_gate": two.s.mean(1), "gate": list(two.s), "norm_small": a, "norm_large": b,
+                "norm_ratio": a / (b + 1e-8), "cosine": (two.a * two.b).sum(1) / (a * b + 1e-8),
+            })
+
+    return df.select("sample_id", "x").mapInPandas(run, "sample_id long, mean_gate double, gate array<double>, norm_small double, norm_large double, norm_ratio double, cosine double")
+
+
+def gate_summary(values: DataFrame) -> DataFrame:
+    """One row on the gates of all samples: mean, median and outer quantiles of all gate values, and of norms and cosines."""
+    q = F.percentile("g", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    gates = values.select(F.explode("gate").alias("g")).agg(F.avg("g").alias("mean_gate"), q.alias("q"))
+    rows = values.agg(
+        F.count("*").alias("n"), F.max(F.size("gate")).alias("n_gate_dims"), F.avg("norm_small").alias("mean_norm_small"), F.avg("norm_large").alias("mean_norm_large"),
+        F.median("norm_ratio").alias("median_norm_ratio"), F.avg("cosine").alias("mean_cosine"),
+    )
+    return rows.crossJoin(gates).select("*", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q05_gate", "median_gate", "q95_gate"))]).drop("q")
+
+
 def refit_importance(df: DataFrame, model: str, cfg: dict, names: list[str], folds: list[int], seed: int = 42, max_rows: int = 200_000) -> DataFrame:
     """variable, importance: the fall of the mean validation ccc when the model is fitted without each variable."""
     grid = [cfg] + [cfg | {"without": i} for i in range(len(names))]

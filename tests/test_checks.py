@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldspan import models
 from fieldspan.functions import mollweide
-from fieldspan.models import explain
+from fieldspan.models import explain, grids, network
 from fieldspan.operators import checks, importance, selection, spatial
 
 
@@ -120,3 +120,47 @@ def test_sampled_shapley_adds_up_beyond_14_players(spark, line):
     total = np.asarray(spec.predict(fitted, x[:6])).ravel() - np.asarray(spec.predict(fitted, back)).mean()
     want = spark.createDataFrame([(i, float(t)) for i, t in enumerate(total)], "id long, total double")
     assert checks.attribution_gap(phi, want).first()["ok"] and phi.count() == 6 * 18
+
+
+def test_grids_say_what_is_wrong():
+    assert grids.check_grid([{"windows": [3, 7], "channels": [4, 4], "padding": "valid"}, {"windows": [7], "channels": [4]}, {"hidden": [8]}]) == [
+        {"windows": [3, 7], "channels": [4, 4], "padding": "same"}, {"windows": [7], "channels": [4], "padding": "valid"}, {"hidden": [8]},
+    ]
+    for grid, says in (([], "no configuration"), ([{"epoch": 3}], "epochs is not given"), ([{"colour": 1}], "nothing reads colour$"), ([{"windows": [4]}], "odd"), ([{"dropout": 1}], "below 1"), ([{"windows": [3], "channels": []}], "channels")):
+        with pytest.raises(ValueError, match=says):
+            grids.check_grid(grid)
+    assert [grids.edits(a, b) for a, b in (("", "abc"), ("kitten", "sitting"), ("same", "same"))] == [3, 3, 0]
+    assert grids.expand_dropout(0.3) == {"spatial_dropout": 0.075, "embed_dropout": 0, "gate_dropout": 0.15, "head_dropout_1": 0.3, "head_dropout_2": 0.15}
+    assert grids.usable_padding(None, [9], [4]) == "same" and grids.usable_padding("1", [3, 9], [4, 4]) == "1"
+
+
+def test_strips_need_valid_branches():
+    assert grids.strips_supported({"windows": [3, 7], "channels": [4, 4]}) == [False, True]
+    assert grids.strips_supported({"windows": [7], "squeeze": True}) == [False]
+    assert grids.strips_supported({"windows": [7], "squeeze": True, "pool": True}) == [True]
+
+
+def test_every_name_a_network_reads_is_known():
+    import inspect
+    import re
+
+    read = set(re.findall(r"""cfg(?:\.get\(|\[)"(\w+)\"""", inspect.getsource(network) + inspect.getsource(models)))
+    assert read - {"ridge"} == grids.KNOWN
+
+
+def test_gates_are_those_of_the_forward_pass(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 18))
+    fitted = models.get_model("cnn").fit(x, x[:, 4], x, x[:, 4], {"windows": [1, 3], "channels": [3], "embedding": 5, "epochs": 2}, 1)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "sample_id long, x array<double>")
+    values = explain.gate_values(df, fitted)
+    got = {r["sample_id"]: r for r in values.collect()}
+    models.get_model("cnn").predict(fitted, x)
+    two = next(v for v in fitted[0].net.every() if isinstance(v, network.TwoBranches))
+    assert [got[i]["gate"] for i in range(60)] == [pytest.approx(g) for g in two.s.tolist()]
+    assert got[7]["cosine"] == pytest.approx(two.a[7] @ two.b[7] / np.linalg.norm(two.a[7]) / np.linalg.norm(two.b[7]), rel=1e-5)
+    s = explain.gate_summary(values).first()
+    assert (s["n"], s["n_gate_dims"]) == (60, 5) and s["median_gate"] == pytest.approx(np.median(two.s)) and s["mean_gate"] == pytest.approx(two.s.mean())
+    single = models.get_model("cnn").fit(x, x[:, 4], x, x[:, 4], {"windows": [3], "channels": [3], "epochs": 1}, 1)
+    with pytest.raises(ValueError, match="no gate"):
+        explain.gate_values(df, single)
