@@ -41,13 +41,24 @@ def scale(long: DataFrame, scaling: DataFrame) -> DataFrame:
 def patches(cells: DataFrame, points: DataFrame, window: int) -> DataFrame:
     """(sample_id, band, patch, valid) of points (sample_id, row, col): the cells around each, row offset fastest.
 
-    An equi-join of point offsets with cells; valid where all cells exist and are finite.
+    Patches are cut once for each distinct centre, by an equi-join of its offsets with cells, and points meet them by row and
+    col: a point is shuffled once, however large the window. Points of one sample_id share a patch. Valid where all cells
+    exist and are finite.
     """
     h = window // 2
     offsets = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit((dc + h) * window + dr + h).alias("pos")) for dc in range(-h, h + 1) for dr in range(-h, h + 1)]))
-    p = points.withColumn("o", offsets).select("sample_id", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), F.col("o.pos").alias("pos"))
-    g = p.join(cells, ["row", "col"]).groupBy("sample_id", "band").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("z"), F.count_if(finite("value")).alias("n"))
-    return g.select("sample_id", "band", F.transform("z", lambda s: s["value"]).alias("patch"), (F.col("n") == window * window).alias("valid"))
+    centres = points.select(F.col("row").alias("_r"), F.col("col").alias("_c")).where("_r is not null and _c is not null").distinct().withColumn("o", offsets)
+    centres = centres.select("_r", "_c", (F.col("_r") + F.col("o.dr")).alias("row"), (F.col("_c") + F.col("o.dc")).alias("col"), F.col("o.pos").alias("pos"))
+    # Merged: sizes are guessed without the explosion, and a broadcast by such a guess would fill the driver.
+    g = centres.hint("merge").join(cells, ["row", "col"]).groupBy("_r", "_c", "band").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("z"), F.count_if(finite("value")).alias("n"))
+    g = g.withColumnsRenamed({"_r": "row", "_c": "col"})
+    ids = points.groupBy("sample_id").agg(F.count("*").alias("_k"), F.min("row").alias("row"), F.min("col").alias("col"))
+    whole = lambda z, n: (F.transform(z, lambda s: s["value"]).alias("patch"), (n == window * window).alias("valid"))
+    one = ids.where("_k = 1").hint("merge").join(g, ["row", "col"]).select("sample_id", "band", *whole("z", F.col("n")))
+    often = ids.where("_k > 1").select(F.col("sample_id").alias("_id"))
+    often = points.select("sample_id", "row", "col").hint("merge").join(often, F.col("sample_id").eqNullSafe(F.col("_id")), "left_semi").hint("merge").join(g, ["row", "col"])
+    often = often.groupBy("sample_id", "band").agg(F.sort_array(F.flatten(F.collect_list("z"))).alias("z"), F.sum("n").alias("n"))
+    return one.unionByName(often.select("sample_id", "band", *whole("z", F.col("n"))))
 
 
 def patch_blame(p: DataFrame) -> DataFrame:
