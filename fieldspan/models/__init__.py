@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -283,16 +285,28 @@ def fit_one(df: DataFrame, model: str, cfg: dict, seed: int = 42, max_rows: int
     return pickle.loads(bytes(got[0]["model"]))
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Arrays of one length as rows of a matrix; nulls within them are nan."""
+    if len(pc.unique(pc.list_value_length(column))) > 1 or column.null_count:
+        raise ValueError("inputs are missing or of different lengths")
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.cast(pa.float64()).to_numpy(zero_copy_only=False), float)
+
+
 def predict_units(df: DataFrame, model: str, fitted) -> DataFrame:
     """df with pred, batch by batch, in any number of tasks."""
     spec, schema = get_model(model), StructType([*df.drop("x").schema.fields, StructField("pred", DoubleType())])
 
     def run(batches):
         for t in batches:
-            if len(t):
-                yield t.drop(columns="x").assign(pred=spec.predict(fitted, np.stack(t.x.to_numpy()).astype(float)))
+            if t.num_rows:
+                kept = t.drop_columns(["x"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(spec.predict(fitted, matrix(t["x"])), pa.float64())], [*kept.schema.names, "pred"])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def borrowed_units(df: DataFrame, features: list[str], estimator: str, grid: list[dict], folds: list[int], seed: int = 42) -> DataFrame:

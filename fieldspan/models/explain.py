@@ -2,45 +2,74 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..functions import draw_key, running_sum
+from ..functions import draw_key
 from ..operators.importance import shapley
-from ..operators.metrics import calc_metrics
-from . import fit_units, get_model, network, predict_units, unit_scores, units
+from ..operators.metrics import Moments, metrics_of_moments
+from . import fit_units, get_model, matrix, network, numbers, predict_units, unit_scores, units
 
 
 def donors(df: DataFrame, draws: int, seed: int = 42, strata: str | None = None) -> DataFrame:
     """(draw, sample_id, donor): each row's donor is the next of a random order of its stratum, the first's after the last.
 
-    sample_id is unique. No row is its own donor but one alone in its stratum. Places in the order are running counts of bounded cuts.
+    sample_id is unique. No row is its own donor but one alone in its stratum.
+    """
+    return _with_donors(df, draws, seed, strata).select("draw", "sample_id", F.col("_next.sample_id").alias("donor"))
+
+
+def _with_donors(df: DataFrame, draws: int, seed: int = 42, strata: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """draw, sample_id, the columns to carry, and _next: the same of the row's donor.
+
+    The order of md5 is cut by its first three digits, and rows meet their donors within a cut; the last row of a cut
+    gets the first of the next one that has rows. Rows are shuffled once, without their md5.
     """
-    by = ["draw", "stratum"]
-    x = df.select("sample_id", (F.col(strata).cast("string") if strata else F.lit("all")).alias("stratum"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    x = x.withColumn("_h", F.md5(F.concat_ws("_", F.lit(str(seed)), "draw", "sample_id"))).withColumn("_one", F.lit(1))
-    x = running_sum(x, "_h", "_one", "place", by).join(x.groupBy(*by).agg(F.count("*").alias("n")), by)
-    after = x.select(*by, "place", F.col("sample_id").alias("donor"))
-    return x.withColumn("place", F.col("place") % F.col("n") + 1).join(after, [*by, "place"]).select("draw", "sample_id", "donor")
+    cols = ["sample_id", *carry]
+    h = F.md5(F.concat_ws("_", F.lit(str(seed)), "draw", "sample_id"))
+    keys = ["draw", "stratum", "_b"]
+    x = df.select(*cols, (F.col(strata).cast("string") if strata else F.lit("all")).alias("stratum"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    x = x.withColumn("_b", F.conv(F.substring(h, 1, 3), 16, 10).cast("int")).repartition(*keys)
+    w = Window.partitionBy(*keys).orderBy(h)
+    x = x.select(*keys, *cols, F.lead(F.struct(*cols)).over(w).alias("_next"), F.row_number().over(w).alias("_i"))
+    after, all_ = Window.partitionBy("draw", "stratum").orderBy("_b"), Window.partitionBy("draw", "stratum").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = x.where("_i = 1").select(*keys, F.struct(*cols).alias("_f"))
+    first = first.select(*keys, F.coalesce(F.lead("_f").over(after), F.first("_f").over(all_)).alias("_f"))
+    return x.join(first, keys, "left").select("draw", *cols, F.coalesce("_next", "_f").alias("_next"))
 
 
 def permutation_importance(df: DataFrame, model: str, fitted, names: list[str], draws: int = 5, seed: int = 42, strata: str | None = None, label: str = "m0", groups: list[list[int]] | None = None) -> DataFrame:
     """model, variable, draw, drop: how much ccc falls when a variable comes from each row's donor.
 
-    df: sample_id, x, y. groups: the places in x of each name, which move together; by default name i is place i. Rows with their donor's inputs are one table; variables are swapped in batches of it.
+    df: sample_id, x, y. groups: the places in x of each name, which move together; by default name i is place i. Rows meet
+    their donor's inputs in one shuffle; all variables are swapped and scored where they met, and a task returns sums only.
     """
-    d = donors(df, draws, seed, strata)
-    both = df.select("sample_id", "x", "y").join(d, "sample_id").join(df.select(F.col("sample_id").alias("donor"), F.col("x").alias("x2")), "donor")
-    groups = groups or [[i] for i in range(len(names))]
-    every = both.withColumn("variable", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
-    places = F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), F.col("variable"))
-    swapped = F.transform("x", lambda v, i: F.when(F.array_contains(places, i), F.get("x2", i)).otherwise(v))
-    scored = predict_units(every.select("draw", "variable", F.col("y").alias("obs"), swapped.alias("x")), model, fitted)
-    base = calc_metrics(predict_units(df.select(F.col("y").alias("obs"), "x"), model, fitted)).select(F.col("ccc").alias("base"))
-    out = calc_metrics(scored, ["draw", "variable"]).crossJoin(F.broadcast(base))
+    spec, groups = get_model(model), groups or [[i] for i in range(len(names))]
+
+    def run(batches):
+        sums = Moments()
+        for t in batches:
+            if t.num_rows:
+                x, x2, y, draw = matrix(t["x"]), matrix(t["x2"]), numbers(t["y"]), t["draw"].to_numpy(zero_copy_only=False)
+                for d in np.unique(draw):
+                    at = np.flatnonzero(draw == d)
+                    if d == 1:
+                        sums.add((1, -1), y[at], spec.predict(fitted, x[at]))
+                    for k, g in enumerate(groups):
+                        z = x[at]
+                        z[:, g] = x2[at][:, g]
+                        sums.add((int(d), k), y[at], spec.predict(fitted, z))
+        yield pa.RecordBatch.from_pandas(sums.frame(["draw", "variable"]).astype({"draw": "int32", "variable": "int32"}), preserve_index=False)
+
+    both = _with_donors(df, draws, seed, strata, ("x", "y")).select("draw", "x", "y", F.col("_next.x").alias("x2"))
+    scored = metrics_of_moments(both.mapInArrow(run, f"draw int, variable int, {Moments.FIELDS}"), ["draw", "variable"]).select("draw", "variable", "ccc")
+    whole = F.max(F.when(F.col("variable") == -1, F.col("ccc"))).over(Window.partitionBy())
+    out = scored.withColumn("base", whole).where("variable >= 0")
     return out.select(F.lit(label).alias("model"), F.get(F.array(*map(F.lit, names)), F.col("variable")).alias("variable"), "draw", (F.col("base") - F.col("ccc")).alias("drop"))
 
 
@@ -66,29 +95,22 @@ def context_importance(df: DataFrame, model: str, fitted, window: int, bands: li
 def sampled_shapley(df: DataFrame, model: str, fitted, background: list[list[float]], orders: int = 32, seed: int = 42) -> DataFrame:
     """id, player, phi: Shapley values over random orders of the players, each with its reverse; for more than 14 players.
 
-    All rows meet the same orders. The values of a row add up to its prediction less the mean over the background.
+    All rows meet the same orders, and a coalition that several orders pass is scored once. The values of a row add up to
+    its prediction less the mean over the background.
     """
-    spec, b = get_model(model), np.array(background, float)
-    players, rng = b.shape[1], np.random.default_rng(seed)
+    players, rng = len(background[0]), np.random.default_rng(seed)
     some = [rng.permutation(players) for _ in range(-(-orders // 2))]
     walks = np.array([w for o in some for w in (o, o[::-1])])
-
-    def run(batches):
-        for t in batches:
-            for i in range(0, len(t), 64):
-                x = np.stack(t.x.iloc[i : i + 64].to_numpy()).astype(float)
-                phi = np.zeros_like(x)
-                for walk in walks:
-                    on = np.zeros((players + 1, players), bool)
-                    for k, p in enumerate(walk):
-                        on[k + 1 :, p] = True
-                    z = np.where(on[None, :, None, :], x[:, None, None, :], b[None, None])
-                    v = np.asarray(spec.predict(fitted, z.reshape(-1, players))).reshape(len(x), players + 1, len(b)).mean(2)
-                    phi[:, walk] += np.diff(v, axis=1)
-                phi /= len(walks)
-                yield pd.DataFrame({"id": np.repeat(t.sample_id.iloc[i : i + 64].to_numpy(), players), "player": np.tile(np.arange(players), len(x)), "phi": phi.ravel()})
-
-    return df.select("sample_id", "x").mapInPandas(run, "id long, player int, phi double")
+    passed = np.zeros((len(walks), players + 1, players), bool)
+    for i, walk in enumerate(walks):
+        for k, p in enumerate(walk):
+            passed[i, k + 1 :, p] = True
+    on, place = np.unique(passed.reshape(-1, players), axis=0, return_inverse=True)
+    place, weights = place.reshape(len(walks), players + 1), np.zeros((len(on), players))
+    for walk, at in zip(walks, place):
+        np.add.at(weights, (at[1:], walk), 1 / len(walks))
+        np.add.at(weights, (at[:-1], walk), -1 / len(walks))
+    return _credited(df, model, fitted, background, on, weights)
 
 
 def gate_values(df: DataFrame, fitted) -> DataFrame:
@@ -139,23 +161,34 @@ def refit_importance(df: DataFrame, model: str, cfg: dict, names: list[str], fol
     return s.where("config_id <> 'cfg_001'").crossJoin(F.broadcast(base)).select(name.alias("variable"), (F.col("base") - F.col("ccc")).alias("importance"))
 
 
-def coalitions(df: DataFrame, model: str, fitted, background: list[list[float]]) -> DataFrame:
-    """id, mask, v: the mean prediction with the variables of a mask from the row and the others from a few background rows."""
-    spec, players = get_model(model), len(background[0])
+def _worths(spec, fitted, b: np.ndarray, on: np.ndarray, x: np.ndarray):
+    """(first row, values): the mean prediction of some rows of x with each coalition's variables from the row, the others from the background."""
+    step = max(1, 4096 // (len(on) * len(b)))
+    for i in range(0, len(x), step):
+        part = x[i : i + step]
+        z = np.where(on[None, :, None, :], part[:, None, None, :], b[None, None])
+        yield i, np.asarray(spec.predict(fitted, z.reshape(-1, z.shape[-1]))).reshape(len(part), len(on), len(b)).mean(2)
+
+
+def _every_coalition(players: int) -> np.ndarray:
     if players > 14:
         raise ValueError("exact values take 2**players coalitions; at most 14 players")
-    b = np.array(background, float)
-    on = (np.arange(2**players)[:, None] >> np.arange(players)) & 1
+    return ((np.arange(2**players)[:, None] >> np.arange(players)) & 1).astype(bool)
+
+
+def _credited(df: DataFrame, model: str, fitted, background: list[list[float]], on: np.ndarray, weights: np.ndarray) -> DataFrame:
+    """id, player, phi: the values of each row's coalitions times weights (coalition, player); nothing is shuffled."""
+    spec, b, players = get_model(model), np.array(background, float), weights.shape[1]
 
     def run(batches):
         for t in batches:
-            for i in range(0, len(t), 64):
-                x = np.stack(t.x.iloc[i : i + 64].to_numpy()).astype(float)
-                z = np.where(on[None, :, None, :] == 1, x[:, None, None, :], b[None, None])
-                v = spec.predict(fitted, z.reshape(-1, players)).reshape(len(x), len(on), len(b)).mean(2)
-                yield pd.DataFrame({"id": np.repeat(t.sample_id.iloc[i : i + 64].to_numpy(), len(on)), "mask": np.tile(np.arange(len(on)), len(x)), "v": v.ravel()})
+            if t.num_rows:
+                x = matrix(t["x"])
+                phi = np.concatenate([v @ weights for _, v in _worths(spec, fitted, b, on, x)])
+                ids = t["sample_id"].cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(x)), players)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(players, dtype="int32"), len(x))), pa.array(phi.ravel())], ["id", "player", "phi"])
 
-    return df.select("sample_id", "x").mapInPandas(run, "id long, mask int, v double")
+    return df.select("sample_id", "x").mapInArrow(run, "id long, player int, phi double")
 
 
 def background_rows(df: DataFrame, n: int = 16, seed: int = 42) -> list[list[float]]:
@@ -164,15 +197,33 @@ def background_rows(df: DataFrame, n: int = 16, seed: int = 42) -> list[list[flo
 
 
 def kernel_shap(df: DataFrame, model: str, fitted, background: list[list[float]]) -> DataFrame:
-    """id, player, phi: exact Shapley values of each prediction."""
-    return shapley(coalitions(df, model, fitted, background), len(background[0]))
+    """id, player, phi: exact Shapley values of each prediction, a row of phi from its own coalitions where they are scored."""
+    players = len(background[0])
+    on = _every_coalition(players)
+    size = on.sum(1)
+    share = np.array([math.factorial(s) * math.factorial(players - s - 1) / math.factorial(players) for s in range(players)])
+    weights = np.where(on, share[np.maximum(size - 1, 0)][:, None], -share[np.minimum(size, players - 1)][:, None])
+    return _credited(df, model, fitted, background, on, weights)
 
 
 def sage(df: DataFrame, model: str, fitted, background: list[list[float]], loss: str = "mse") -> DataFrame:
-    """player, phi: Shapley values of the negative mean loss; coalitions are averaged before they meet."""
-    c = coalitions(df, model, fitted, background).join(df.select(F.col("sample_id").alias("id"), "y"), "id")
-    e = F.col("v") - F.col("y")
-    worth = c.groupBy("mask").agg((-F.avg(e * e if loss == "mse" else F.abs(e))).alias("v")).select(F.lit(0).cast("long").alias("id"), "mask", "v")
+    """player, phi: Shapley values of the negative mean loss; a task returns a sum of losses for each coalition."""
+    spec, b, on = get_model(model), np.array(background, float), _every_coalition(len(background[0]))
+
+    def run(batches):
+        n, total = 0, np.zeros(len(on))
+        for t in batches:
+            t = t.filter(t["y"].is_valid())
+            if t.num_rows:
+                x, y = matrix(t["x"]), numbers(t["y"])
+                for i, v in _worths(spec, fitted, b, on, x):
+                    e = v - y[i : i + len(v), None]
+                    n, total = n + len(v), total + (e * e if loss == "mse" else np.abs(e)).sum(0)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(on), dtype="int32")), pa.array(np.full(len(on), n)), pa.array(total)], ["mask", "n", "s"])
+
+    sums = df.select("x", "y").mapInArrow(run, "mask int, n long, s double")
+    worth = sums.groupBy("mask").agg((-F.sum("s") / F.sum("n")).alias("v")).select(F.lit(0).cast("long").alias("id"), "mask", "v")
     return shapley(worth, len(background[0])).select("player", "phi")
 
 
@@ -218,15 +269,16 @@ def occlusion(df: DataFrame, model: str, fitted, window: int, seed: int = 42) ->
     """ring, n, ccc, rmse: metrics when the pixels of a ring of every patch come from the row's donor; ring -1 is as it was."""
     h, spec = window // 2, get_model(model)
     r = np.maximum(np.abs(np.arange(window)[:, None] - h), np.abs(np.arange(window)[None] - h)).ravel()
-    both = df.select("sample_id", "x", "y").join(donors(df, 1, seed), "sample_id").join(df.select(F.col("sample_id").alias("donor"), F.col("x").alias("x2")), "donor")
+    both = _with_donors(df, 1, seed, None, ("x", "y")).select("x", "y", F.col("_next.x").alias("x2"))
 
     def run(batches):
+        sums = Moments()
         for t in batches:
-            if len(t):
-                x, x2 = np.stack(t.x.to_numpy()).astype(float), np.stack(t.x2.to_numpy()).astype(float)
+            if t.num_rows:
+                x, x2, y = matrix(t["x"]), matrix(t["x2"]), numbers(t["y"])
                 at = np.tile(r, x.shape[1] // len(r))
                 for k in range(-1, h + 1):
-                    yield pd.DataFrame({"ring": k, "obs": t.y, "pred": spec.predict(fitted, np.where(at == k, x2, x))})
+                    sums.add((k,), y, spec.predict(fitted, np.where(at == k, x2, x)))
+        yield pa.RecordBatch.from_pandas(sums.frame(["ring"]).astype({"ring": "int32"}), preserve_index=False)
 
-    scored = both.mapInPandas(run, StructType([StructField("ring", IntegerType()), StructField("obs", DoubleType()), StructField("pred", DoubleType())]))
-    return calc_metrics(scored, ["ring"]).select("ring", "n", "ccc", "rmse")
+    return metrics_of_moments(both.mapInArrow(run, f"ring int, {Moments.FIELDS}"), ["ring"]).select("ring", "n", "ccc", "rmse")

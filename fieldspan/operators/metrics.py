@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import finite, only_finite, ratio
@@ -15,6 +17,10 @@ def calc_metrics(df: DataFrame, by: list[str] = (), obs: str = "obs", pred: str
         F.count("*").alias("n"), F.avg(o).alias("mo"), F.avg(p).alias("mp"), F.var_pop(o).alias("vo"), F.var_pop(p).alias("vp"),
         F.covar_pop(o, p).alias("c"), F.avg(F.abs(p - o)).alias("mae_"), F.avg((p - o) * (p - o)).alias("mse"), F.avg(p - o).alias("bias_"), F.stddev_samp(o).alias("so"),
     )
+    return _from_moments(a, by)
+
+
+def _from_moments(a: DataFrame, by: list[str]) -> DataFrame:
     many = F.col("n") >= 2
     get = lambda x: F.when(many, x)
     ccc = get(ratio(2 * F.col("c"), F.col("vo") + F.col("vp") + F.pow(F.col("mo") - F.col("mp"), 2)))
@@ -27,6 +33,56 @@ def calc_metrics(df: DataFrame, by: list[str] = (), obs: str = "obs", pred: str
     )
 
 
+class Moments:
+    """What calc_metrics needs of the finite pairs of each key, added up batch by batch in a task."""
+
+    FIELDS = "n long, mo double, mp double, so double, sp double, sop double, ae double, se double"
+
+    def __init__(self):
+        self.of: dict[tuple, np.ndarray] = {}
+
+    def add(self, key: tuple, obs: np.ndarray, pred: np.ndarray) -> None:
+        ok = np.isfinite(obs) & np.isfinite(pred)
+        o, p = (obs, pred) if ok.all() else (obs[ok], pred[ok])
+        if not len(o):
+            return
+        mo, mp, e = o.mean(), p.mean(), p - o
+        do, dp = o - mo, p - mp
+        new = np.array([len(o), mo, mp, do @ do, dp @ dp, do @ dp, np.abs(e).sum(), e @ e])
+        old = self.of.get(key)
+        if old is not None:
+            n, (a, b) = old[0] + new[0], new[1:3] - old[1:3]
+            w = old[0] * new[0] / n
+            new = np.array([n, *(old[1:3] + np.array([a, b]) * new[0] / n), *(old[3:] + new[3:] + np.array([a * a * w, b * b * w, a * b * w, 0, 0]))])
+        self.of[key] = new
+
+    def frame(self, names: list[str]) -> pd.DataFrame:
+        fields = [f.split()[0] for f in self.FIELDS.split(", ")]
+        return pd.DataFrame([[*k, *v] for k, v in self.of.items()], columns=[*names, *fields]).astype({"n": "int64"})
+
+
+def metrics_of_moments(parts: DataFrame, by: list[str] = ()) -> DataFrame:
+    """calc_metrics of rows of Moments; a group has one row a task."""
+    fields = [f.split()[0] for f in Moments.FIELDS.split(", ")]
+
+    def merged(x: Column, y: Column) -> Column:
+        n, a, b = x["n"] + y["n"], y["mo"] - x["mo"], y["mp"] - x["mp"]
+        w = x["n"] * y["n"] / n
+        plus = {"so": a * a * w, "sp": b * b * w, "sop": a * b * w, "ae": F.lit(0.0), "se": F.lit(0.0)}
+        return F.struct(
+            n.alias("n"), (x["mo"] + a * y["n"] / n).alias("mo"), (x["mp"] + b * y["n"] / n).alias("mp"), *[(x[c] + y[c] + v).alias(c) for c, v in plus.items()]
+        )
+
+    rows = parts.select(*by, F.struct(F.col("n").cast("double").alias("n"), *fields[1:]).alias("m")).groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("m"))
+    m = F.aggregate(F.slice("m", F.lit(2), F.greatest(F.size("m") - 1, F.lit(0))), F.get("m", F.lit(0)), merged)
+    x = rows.where(F.size("m") > 0).withColumn("m", m).select(*by, "m.*")
+    n = F.col("n")
+    return _from_moments(x.select(
+        *by, n.cast("long").alias("n"), "mo", "mp", (F.col("so") / n).alias("vo"), (F.col("sp") / n).alias("vp"), (F.col("sop") / n).alias("c"), (F.col("ae") / n).alias("mae_"), (F.col("se") / n).alias("mse"),
+        (F.col("mp") - F.col("mo")).alias("bias_"), F.when(n > 1, F.sqrt(F.col("so") / F.nullif(n - 1, F.lit(0.0)))).alias("so"),
+    ), by)
+
+
 def ccc_by_group(df: DataFrame, by: list[str], obs: str = "obs", pred: str = "pred") -> DataFrame:
     return calc_metrics(df, by, obs, pred).select(*by, "n", "ccc")
 

@@ -1,10 +1,21 @@
 """What has to hold so that the figures grow no faster than the input: plans, bounded tasks, and the same results."""
 
 import io
+import pickle
 from contextlib import redirect_stdout
 
-from fieldspan import queries
-from fieldspan.operators import raster
+import numpy as np
+import pytest
+
+from fieldspan import models, queries
+from fieldspan.models import explain, network
+from fieldspan.operators import metrics, raster
+
+
+@pytest.fixture(scope="module")
+def rows_of_three(spark):
+    x = np.random.default_rng(3).normal(size=(60, 3))
+    return spark.createDataFrame([(i, [float(v) for v in r], float(2 * r[0] - r[1] + i % 2), i % 4) for i, r in enumerate(x)], "sample_id long, x array<double>, y double, fold int")
 
 
 def plan_of(df) -> str:
@@ -31,3 +42,68 @@ def test_patches_of_points_that_share_centres_and_ids(spark):
 def test_no_point_is_broadcast_once_for_each_cell_of_its_window(spark, sf_dir):
     for name in ("patch_d4", "patch_valid", "patch_blame", "ring_index", "window_mean_features"):
         assert "Broadcast" not in plan_of(queries.QUERIES[name](spark, sf_dir)).replace("BroadcastExchange IdentityBroadcastMode", "")
+
+
+def test_moments_give_the_same_metrics(spark):
+    rng = np.random.default_rng(5)
+    o, p, k = rng.normal(1e6, 3, 900), rng.normal(1e6, 3, 900), np.arange(900) % 3
+    o[4], p[8] = np.nan, np.inf
+    rows = spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(k, o, p)] + [(7, 1.0, 2.0)], "k int, obs double, pred double")
+
+    def run(batches):
+        for t in batches:
+            m = metrics.Moments()
+            for at in np.array_split(np.arange(len(t)), 5):
+                for key in set(t.k.iloc[at]):
+                    on = at[(t.k.iloc[at] == key).to_numpy()]
+                    m.add((key,), t.obs.to_numpy()[on], t.pred.to_numpy()[on])
+            yield m.frame(["k"])
+
+    got = metrics.metrics_of_moments(rows.mapInPandas(run, f"k int, {metrics.Moments.FIELDS}"), ["k"])
+    want = metrics.calc_metrics(rows, ["k"])
+    assert got.columns == want.columns
+    for a, b in zip(sorted(got.collect()), sorted(want.collect())):
+        assert list(a) == [v if v is None else pytest.approx(v, rel=1e-7, abs=1e-9) for v in b]
+
+
+def test_explanations_do_not_shuffle_coalitions(spark, rows_of_three):
+    df, b = rows_of_three, [[0.0, 0.0, 0.0], [1.0, 0.5, 0.0]]
+    m = models.fit_one(df, "line", {})
+    for got in (explain.kernel_shap(df, "line", m, b), explain.sampled_shapley(df, "line", m, b, 4)):
+        assert "Exchange" not in plan_of(got)
+    worth = {}
+    for r in df.collect():
+        for mask in range(8):
+            v = np.mean([m[0] + np.where([mask >> k & 1 for k in range(3)], r["x"], z) @ m[1:] for z in b])
+            worth.setdefault(mask, []).append(-((v - r["y"]) ** 2))
+    v = {k: np.mean(z) for k, z in worth.items()}
+    share = {0: 1 / 3, 1: 1 / 6, 2: 1 / 3}
+    for r in explain.sage(df, "line", m, b).collect():
+        bit = 1 << r["player"]
+        assert r["phi"] == pytest.approx(sum(share[(k & ~bit).bit_count()] * (v[k | bit] - v[k & ~bit]) for k in range(8) if k & bit))
+
+
+def test_permuted_rows_are_not_copied_for_each_variable(spark, rows_of_three):
+    df = rows_of_three
+    m = models.fit_one(df, "line", {})
+    raw = explain.permutation_importance(df, "line", m, ["a", "b", "c"], 2)
+    assert plan_of(raw).count("explode(") == plan_of(explain.donors(df, 2)).count("explode(")
+    donor, of = {(r["draw"], r["sample_id"]): r["donor"] for r in explain.donors(df, 2).collect()}, {r["sample_id"]: r for r in df.collect()}
+
+    def ccc(pred):
+        o, p = np.array([r["y"] for r in of.values()]), np.array(pred)
+        return 2 * np.cov(o, p, bias=True)[0, 1] / (o.var() + p.var() + (o.mean() - p.mean()) ** 2)
+
+    base = ccc([m[0] + np.array(r["x"]) @ m[1:] for r in of.values()])
+    for r in raw.collect():
+        k = "abc".index(r["variable"])
+        x = [[of[donor[r["draw"], i]]["x"][j] if j == k else v for j, v in enumerate(s["x"])] for i, s in of.items()]
+        assert r["drop"] == pytest.approx(base - ccc(m[0] + np.array(x) @ m[1:]))
+
+
+def test_a_model_leaves_its_last_batch_behind():
+    rng = np.random.default_rng(1)
+    net = network.cnn(rng, 2, [1, 3], {"channels": [4], "squeeze": True})
+    size = len(pickle.dumps(net))
+    network.predict(net, rng.normal(size=(5000, 2, 3, 3)))
+    assert len(pickle.dumps(net)) < size + 1000
