@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import draw_key
 from ..operators.importance import shapley
 from ..operators.metrics import Moments, metrics_of_moments
-from . import fit_units, get_model, matrix, network, numbers, predict_units, unit_scores, units
+from . import SHARD, get_model, matrix, network, numbers, predict_units, score_units, units
 
 
 def donors(df: DataFrame, draws: int, seed: int = 42, strata: str | None = None) -> DataFrame:
@@ -151,10 +151,10 @@ def gate_summary(values: DataFrame) -> DataFrame:
     return rows.crossJoin(gates).select("*", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q05_gate", "median_gate", "q95_gate"))]).drop("q")
 
 
-def refit_importance(df: DataFrame, model: str, cfg: dict, names: list[str], folds: list[int], seed: int = 42, max_rows: int = 200_000) -> DataFrame:
+def refit_importance(df: DataFrame, model: str, cfg: dict, names: list[str], folds: list[int], seed: int = 42, max_rows: int = SHARD) -> DataFrame:
     """variable, importance: the fall of the mean validation ccc when the model is fitted without each variable."""
     grid = [cfg] + [cfg | {"without": i} for i in range(len(names))]
-    s = unit_scores(fit_units(df, units(df.sparkSession, grid, folds, base_seed=seed), model, max_rows))
+    s = score_units(df, units(df.sparkSession, grid, folds, base_seed=seed), model, max_rows)
     s = s.groupBy("config_id").agg(F.avg("val_ccc").alias("ccc"))
     base = s.where("config_id = 'cfg_001'").select(F.col("ccc").alias("base"))
     name = F.get(F.array(*map(F.lit, names)), F.substring("config_id", 5, 9).cast("int") - 2)

@@ -107,3 +107,18 @@ def test_a_model_leaves_its_last_batch_behind():
     size = len(pickle.dumps(net))
     network.predict(net, rng.normal(size=(5000, 2, 3, 3)))
     assert len(pickle.dumps(net)) < size + 1000
+
+
+@pytest.mark.parametrize(("model", "cfg"), [("mlp", {"hidden": [8], "epochs": 25, "batch": 16}), ("cnn", {"windows": [1, 3], "channels": [4], "epochs": 8, "batch": 16, "augment": True})])
+def test_networks_are_fitted_on_all_rows(spark, model, cfg):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 18)) * 3 + 5
+    y = x[:, 4] + 0.5 * x[:, 13]
+    df = spark.createDataFrame([(i, r.tolist(), float(v), i % 3) for i, (r, v) in enumerate(zip(x, y))], "sample_id long, x array<double>, y double, fold int")
+    todo = models.units(spark, [cfg, cfg | {"without": 4}], [0, 1])
+    done = models.fit_models(df, todo, model, max_rows=200)
+    assert [(u["status"], u["n_train"]) for u in done] == [("success", 600)] * 4
+    got = {(r["config_id"], r["fold"]): r for r in models.score_units(df, todo, model, max_rows=200).collect()}
+    assert len(got) == 4 and all(got["cfg_001", f]["val_ccc"] > 0.8 > got["cfg_002", f]["val_ccc"] for f in (0, 1))
+    same = {(r["config_id"], r["fold"]): r for r in models.unit_scores(models.fit_units(df, todo, model, max_rows=200)).collect()}
+    assert all(same[k]["val_ccc"] == pytest.approx(got[k]["val_ccc"], rel=1e-6) for k in got)
