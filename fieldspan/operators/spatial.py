@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import haversine, laea, running_sum
+from ..functions import finite, haversine, laea, running_sum
 
 
 def equal_area_blocks(df: DataFrame, size_km: float, lon0: float, lat0: float) -> DataFrame:
@@ -23,7 +23,7 @@ def equal_area_blocks(df: DataFrame, size_km: float, lon0: float, lat0: float) -
 def correlogram(df: DataFrame, breaks: list[float], lonlat: bool = False) -> DataFrame:
     """Moran's I by distance class [a, b). Pairs come from neighbouring buckets of the largest distance, not from all rows.
 
-    df has id, x, y, value. Longitudes and latitudes are first put on the sphere, where buckets are cubes of the largest
+    df has id, x, y, value; rows of one place meet others as one. Longitudes and latitudes are first put on the sphere, where buckets are cubes of the largest
     distance, so that pairs across the date line and near the poles meet as well.
     """
     m = df.agg(F.avg("value").alias("_m"), F.var_pop("value").alias("_v"), F.count("*").alias("_n"))
@@ -36,16 +36,27 @@ def correlogram(df: DataFrame, breaks: list[float], lonlat: bool = False) -> Dat
         place = [F.col("x"), F.col("y")]
     names = ["i", "j", "k"][: len(place)]
     cells = [F.floor(c / breaks[-1]).cast("long") for c in place]
-    a = z.select(F.col("id").alias("ia"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("z").alias("za"), *[c.alias(n) for c, n in zip(cells, names, strict=True)])
+    # Rows of one place are one: pairs need their number, the sum of z and, among themselves, the sum of its squares.
+    known = z.where(F.col("id").isNotNull() & finite("x") & finite("y"))
+    z = known.groupBy(*[c.alias(n) for c, n in zip(cells, names, strict=True)], "x", "y").agg(F.count("*").alias("w"), F.count("z").alias("v"), F.sum("z").alias("z"), F.sum(F.col("z") * F.col("z")).alias("zz"))
+    own = z.select(F.lit(0.0).alias("d"), (F.col("w") * (F.col("w") - 1) / 2).alias("n"), (F.col("v") * (F.col("v") - 1) / 2).alias("m"), ((F.col("z") * F.col("z") - F.col("zz")) / 2).alias("s"))
+    # Rows of one id are no pair: theirs are taken off again.
+    twice = known.groupBy("id").agg(F.count("*").alias("_k")).where("_k > 1").select("id")
+    twice = known.hint("merge").join(twice, "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("x", "y", "z")).alias("r"))
+    twice = twice.select("r", F.posexplode("r").alias("i", "a")).select("i", "a", F.posexplode("r").alias("j", "b")).where("i < j")
+    twice = twice.select(*[F.col(f"{t}.{c}").alias(f"{c}{t}") for t in "ab" for c in "xyz"])
+    a = z.select(F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("z").alias("za"), F.col("w").alias("wa"), F.col("v").alias("va"), *names)
     steps = [F.struct(*[F.lit(v).alias(n) for v, n in zip(step, names, strict=True)]) for step in itertools.product((-1, 0, 1), repeat=len(names))]
     b = z.withColumn("_d", F.explode(F.array(*steps)))
-    b = b.select(F.col("id").alias("ib"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("z").alias("zb"), *[(c + F.col(f"_d.{n}")).alias(n) for c, n in zip(cells, names, strict=True)])
-    p = a.join(b, names).where("ia < ib")
+    b = b.select(F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("z").alias("zb"), F.col("w").alias("wb"), F.col("v").alias("vb"), *[(F.col(n) + F.col(f"_d.{n}")).alias(n) for n in names])
+    p = a.hint("merge").join(b, names).where("xa < xb or (xa = xb and ya < yb)")
     d = haversine(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")) if lonlat else F.sqrt(F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2))
+    p = p.select(d.alias("d"), (F.col("wa") * F.col("wb")).cast("double").alias("n"), (F.col("va") * F.col("vb")).cast("double").alias("m"), (F.col("za") * F.col("zb")).alias("s")).unionByName(own)
+    p = p.unionByName(twice.select(d.alias("d"), F.lit(-1.0).alias("n"), F.when(F.col("za").isNull() | F.col("zb").isNull(), 0.0).otherwise(-1.0).alias("m"), (-F.col("za") * F.col("zb")).alias("s")))
     klass = F.lit(None).cast("int")
     for i in range(len(breaks) - 2, -1, -1):
         klass = F.when((F.col("d") >= breaks[i]) & (F.col("d") < breaks[i + 1]), i + 1).otherwise(klass)
-    sums = p.withColumn("d", d).withColumn("class", klass).where("class is not null").groupBy("class").agg(F.count("*").alias("n_pairs"), F.avg(F.col("za") * F.col("zb")).alias("_i"))
+    sums = p.withColumn("class", klass).where("class is not null and n <> 0").groupBy("class").agg(F.sum("n").cast("long").alias("n_pairs"), (F.sum("s") / F.nullif(F.sum("m"), F.lit(0.0))).alias("_i")).where("n_pairs > 0")
     return sums.crossJoin(F.broadcast(m)).select("class", "n_pairs", (F.col("_i") / F.col("_v")).alias("moran"), (F.lit(-1.0) / (F.col("_n") - 1)).alias("expected"))
 
 
