@@ -9,7 +9,7 @@ import pytest
 
 from fieldspan import models, queries
 from fieldspan.models import explain, network
-from fieldspan.operators import metrics, raster
+from fieldspan.operators import intervals, metrics, raster, spatial
 
 
 @pytest.fixture(scope="module")
@@ -122,3 +122,31 @@ def test_networks_are_fitted_on_all_rows(spark, model, cfg):
     assert len(got) == 4 and all(got["cfg_001", f]["val_ccc"] > 0.8 > got["cfg_002", f]["val_ccc"] for f in (0, 1))
     same = {(r["config_id"], r["fold"]): r for r in models.unit_scores(models.fit_units(df, todo, model, max_rows=200)).collect()}
     assert all(same[k]["val_ccc"] == pytest.approx(got[k]["val_ccc"], rel=1e-6) for k in got)
+
+
+def test_percentiles_are_exact_and_in_no_single_task(spark):
+    rng = np.random.default_rng(9)
+    levels = [0.0, 0.25, 0.5, 0.77, 0.99, 1.0]
+    for v in (rng.normal(0, 5, 700), -np.abs(rng.normal(size=31)), np.zeros(4), np.array([3.0]), np.repeat([1.0, -2.0], 8)):
+        got = intervals.percentiles(spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double"), "v", levels).first()[0]
+        assert got == pytest.approx(np.quantile(v, levels).tolist())
+    none = intervals.percentiles(spark.createDataFrame([], "v double"), "v", [0.5]).collect()
+    assert [r[0] for r in none] == [None]
+    x = spark.createDataFrame([(1.0, 2.0, 3.0)], "obs double, pred double, c double")
+    for df in (intervals.scale_fit(x, "c"), metrics.quantile_performance(x)):
+        assert "percentile(" not in plan_of(df) and "median(" not in plan_of(df)
+
+
+def test_rows_of_one_place_are_one_in_a_correlogram(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.integers(0, 6)), float(rng.integers(0, 6)), float(rng.normal())) for i in range(145)]
+    rows += [(i, float(i), 1.0, 2.0) for i in range(5)]
+    v = np.array([r[3] for r in rows])
+    z, want = v - v.mean(), {}
+    for i in range(150):
+        for j in range(i):
+            d = np.hypot(rows[i][1] - rows[j][1], rows[i][2] - rows[j][2])
+            if d < 3 and rows[i][0] != rows[j][0]:
+                want.setdefault(int(d) + 1, []).append(z[i] * z[j])
+    got = spatial.correlogram(spark.createDataFrame(rows, "id long, x double, y double, value double"), [0.0, 1.0, 2.0, 3.0])
+    assert {r["class"]: (r["n_pairs"], pytest.approx(r["moran"], abs=1e-9)) for r in got.collect()} == {k: (len(p), np.mean(p) / v.var()) for k, p in want.items()}
