@@ -6,7 +6,8 @@ import itertools
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,22 +125,36 @@ def di_reference(train: DataFrame) -> DataFrame:
     a, b = _in_blocks(kept, ["v"], 512, "a"), _in_blocks(kept, ["v"], 512, "b")
 
     def sums(batches):
+        s, n = 0.0, 0
         for t in batches:
-            for i, j, va, vb in zip(t.block_a, t.block_b, t.v_a, t.v_b):
-                d = np.sqrt(_squared(_matrix(va), _matrix(vb)))
-                d = d[np.triu_indices(len(d), 1)] if i == j else d.ravel()
-                yield pd.DataFrame({"s": [float(d.sum())], "n": [d.size]})
-
-    pairs = a.crossJoin(b).where("block_a <= block_b").mapInPandas(sums, "s double, n long")
+            for k in range(t.num_rows):
+                d = _squared(_matrix(t["v_a"][k]), _matrix(t["v_b"][k]))
+                np.sqrt(d, out=d)
+                if t["block_a"][k] == t["block_b"][k]:
+                    s, n = s + float(np.triu(d, 1).sum()), n + len(d) * (len(d) - 1) // 2
+                else:
+                    s, n = s + float(d.sum()), n + d.size
+        if n:
+            yield pa.RecordBatch.from_pydict({"s": [s], "n": [n]})
+
+    pairs = a.crossJoin(b).where("block_a <= block_b").mapInArrow(sums, "s double, n long")
     return pairs.agg((F.sum("s") / F.sum("n")).alias("avg_dist"), F.sum("n").alias("n_pairs"))
 
 
-def _matrix(rows) -> np.ndarray:
-    return np.array([np.asarray(r, dtype=np.float64) for r in rows])
+def _matrix(rows: pa.Scalar) -> np.ndarray:
+    """A block's vectors, of one length, from Arrow's own buffer: no object is made for a vector."""
+    v = rows.values
+    if v.null_count or len(pc.unique(pc.list_value_length(v))) > 1:
+        raise ValueError("vectors are missing or of different lengths")
+    return np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(v), -1)
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+    d = a @ b.T
+    d *= -2
+    d += (a * a).sum(1)[:, None]
+    d += (b * b).sum(1)[None]
+    return np.maximum(d, 0, out=d)
 
 
 def nearest(x: DataFrame, train: DataFrame, other_folds: bool = False) -> DataFrame:
@@ -151,18 +166,18 @@ def nearest(x: DataFrame, train: DataFrame, other_folds: bool = False) -> DataFr
     pairs = _in_blocks(x, cols, 1024, "a").crossJoin(_in_blocks(train, cols, 1024, "b"))
 
     def least(batches):
+        fold = lambda f: np.asarray(f.values.cast(pa.float64()).to_numpy(zero_copy_only=False))
         for t in batches:
-            for r in t.itertuples(index=False):
-                a, b = _matrix(r.v_a), _matrix(r.v_b)
+            for k in range(t.num_rows):
+                a, b = _matrix(t["v_a"][k]), _matrix(t["v_b"][k])
                 sq = _squared(a, b)
                 if other_folds:
-                    fold = lambda f: np.array([np.nan if v is None else v for v in f], float)
-                    sq[fold(r.fold_a)[:, None] == fold(r.fold_b)[None]] = np.inf
+                    sq[fold(t["fold_a"][k])[:, None] == fold(t["fold_b"][k])[None]] = np.inf
                 at = sq.argmin(1)
-                d = np.where(np.isfinite(sq.min(1)), np.sqrt(((a - b[at]) ** 2).sum(1)), np.inf)
-                yield pd.DataFrame({"id": np.asarray(r.id_a), "d": d})
+                d = np.where(np.isfinite(sq[np.arange(len(a)), at]), np.sqrt(((a - b[at]) ** 2).sum(1)), np.inf)
+                yield pa.RecordBatch.from_arrays([t["id_a"][k].values.cast(pa.int64()), pa.array(d)], ["id", "d"])
 
-    return pairs.mapInPandas(least, "id long, d double").groupBy("id").agg(F.min("d").alias("d"))
+    return pairs.mapInArrow(least, "id long, d double").groupBy("id").agg(F.min("d").alias("d"))
 
 
 def _in_units(near: DataFrame, unit: DataFrame) -> DataFrame:

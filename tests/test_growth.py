@@ -150,3 +150,16 @@ def test_rows_of_one_place_are_one_in_a_correlogram(spark):
                 want.setdefault(int(d) + 1, []).append(z[i] * z[j])
     got = spatial.correlogram(spark.createDataFrame(rows, "id long, x double, y double, value double"), [0.0, 1.0, 2.0, 3.0])
     assert {r["class"]: (r["n_pairs"], pytest.approx(r["moran"], abs=1e-9)) for r in got.collect()} == {k: (len(p), np.mean(p) / v.var()) for k, p in want.items()}
+
+
+def test_vectors_of_a_block_are_not_objects(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(70, 3)).astype("float32")
+    t = spark.createDataFrame([(i, r.tolist(), None if i == 5 else i % 3) for i, r in enumerate(v)], "id long, v array<float>, fold int")
+    near = spatial.nearest(t, t, other_folds=True)
+    assert "MapInPandas" not in plan_of(near) + plan_of(spatial.di_reference(t))
+    d = np.sqrt(((v[:, None].astype(float) - v[None].astype(float)) ** 2).sum(2))
+    fold = np.array([np.nan if i == 5 else i % 3 for i in range(70)])
+    want = np.where(fold[:, None] == fold[None], np.inf, d).min(1)
+    assert {r["id"]: r["d"] for r in near.collect()} == {i: pytest.approx(w) for i, w in enumerate(want)}
+    assert spatial.di_reference(t).first()["avg_dist"] == pytest.approx(d[np.triu_indices(70, 1)].mean())
