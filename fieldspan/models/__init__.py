@@ -250,7 +250,8 @@ def _write_shards(ok: DataFrame, k: int) -> DataFrame:
 
     path = shared_path(ok.sparkSession, "shards")
     cut = ok.withColumn("_shard", F.pmod(F.xxhash64("sample_id"), F.lit(k)))
-    cut.groupBy("_shard").applyInArrow(pack, _SHARD).write.parquet(path)
+    # Some hundred files at most: merged into fewer, they would leave some cores without any.
+    cut.repartition(min(k, FILES), "_shard").groupBy("_shard").applyInArrow(pack, _SHARD).write.parquet(path)
     return ok.sparkSession.read.parquet(path)
 
 
@@ -378,12 +379,31 @@ def _from_shards(shards: DataFrame, todo: DataFrame, spec: ModelSpec) -> list[di
 
 def _from_rows(ok: DataFrame, todo: DataFrame, spec: ModelSpec, max_rows: int) -> list[dict]:
     """Units fitted on all rows: in one task each if there are no more than max_rows, or if the model knows no other way; else shard by shard."""
-    n = ok.count() if spec.build else 0
+    n = ok.count() if spec.build else 0  # of kept rows: no job
     return _in_one_task(ok, todo, spec) if n <= max_rows else _from_shards(_write_shards(ok, -(-n // max_rows)), todo, spec)
 
 
 #: Rows that a network trains on in one task, one after another.
 SHARD = 16_384
+#: Files of shards.
+FILES = 96
+
+
+def _kept(df: DataFrame, spec: ModelSpec) -> DataFrame:
+    """The usable rows. What trains a network reads them several times, so they are kept where all executors see them, and made once."""
+    ok = _usable(df)
+    return kept(ok, "rows") if spec.build else ok
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, made once and read from the folder all executors share."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _fit(ok: DataFrame, todo: DataFrame, spec: ModelSpec, max_rows: int) -> list[dict]:
+    return _from_sums(ok, todo, spec) if spec.fit_sums else _from_rows(ok, todo, spec, max_rows)
 
 
 def fit_models(df: DataFrame, todo: DataFrame, model: str, max_rows: int = SHARD) -> list[dict]:
@@ -393,8 +413,8 @@ def fit_models(df: DataFrame, todo: DataFrame, model: str, max_rows: int = SHARD
     weights are averaged after each epoch (in one task if there are no more rows); others in one task. Rows that a unit
     holds out only tell it when to stop.
     """
-    spec, ok = get_model(model), _usable(df)
-    return _from_sums(ok, todo, spec) if spec.fit_sums else _from_rows(ok, todo, spec, max_rows)
+    spec = get_model(model)
+    return _fit(_kept(df, spec), todo, spec, max_rows)
 
 
 def fit_units(df: DataFrame, todo: DataFrame, model: str, max_rows: int = SHARD) -> DataFrame:
@@ -404,7 +424,9 @@ def fit_units(df: DataFrame, todo: DataFrame, model: str, max_rows: int = SHARD)
     unit holds out is scored, batch by batch, in any number of tasks. A cfg with `without` fits and scores with that
     input as 0. A unit that fails gives one row with its error. Rows with null or non-finite inputs take no part.
     """
-    spec, done, cols = get_model(model), fit_models(df, todo, model, max_rows), [c.split()[0] for c in _SCORED.split(", ")]
+    spec, cols = get_model(model), [c.split()[0] for c in _SCORED.split(", ")]
+    ok = _kept(df, spec)
+    done = _fit(ok, todo, spec, max_rows)
     good = [u for u in done if u["status"] == "success"]
 
     def run(batches):
@@ -420,7 +442,7 @@ def fit_units(df: DataFrame, todo: DataFrame, model: str, max_rows: int = SHARD)
                     yield out.assign(**{c: u[c] for c in cols if c in u})[cols]
 
     bad = [tuple(u.get(c) for c in cols) for u in done if u["status"] != "success"]
-    scored = _usable(df).mapInPandas(run, _SCORED)
+    scored = ok.mapInPandas(run, _SCORED)
     return scored.unionByName(df.sparkSession.createDataFrame(bad, _SCORED)) if bad else scored
 
 
@@ -438,7 +460,9 @@ def score_units(df: DataFrame, todo: DataFrame, model: str, max_rows: int = SHAR
     """unit_scores of fit_units, from sums: tasks score what each unit holds out and return a row a unit."""
     from ..operators.metrics import Moments, metrics_of_moments
 
-    spec, done = get_model(model), fit_models(df, todo, model, max_rows)
+    spec = get_model(model)
+    ok = _kept(df, spec)
+    done = _fit(ok, todo, spec, max_rows)
     good = [(i, u) for i, u in enumerate(done) if u["status"] == "success"]
 
     def run(batches):
@@ -457,7 +481,7 @@ def score_units(df: DataFrame, todo: DataFrame, model: str, max_rows: int = SHAR
     keys = ["config_id", "cfg", "fold", "seed", "status"]
     rows = [(i, *[u[c] for c in keys], u["n_params"]) for i, u in enumerate(done)]
     n = df.sparkSession.createDataFrame(rows, "i long, config_id string, cfg string, fold int, seed int, status string, n_params long")
-    m = metrics_of_moments(_usable(df).mapInArrow(run, f"i long, {Moments.FIELDS}"), ["i"])
+    m = metrics_of_moments(ok.mapInArrow(run, f"i long, {Moments.FIELDS}"), ["i"])
     m = m.select("i", F.col("ccc").alias("val_ccc"), F.col("mae").alias("val_mae"), F.col("rmse").alias("val_rmse"), F.col("r2").alias("val_r2"), F.lit(True).alias("_some"))
     return n.join(m, "i", "left").where("_some or status <> 'success'").drop("i", "_some")
 

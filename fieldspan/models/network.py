@@ -90,10 +90,13 @@ class Norm(Layer):
             self.k = 1 / np.sqrt(self.var + 1e-5).reshape(shape)
             by = self.k * self.w.reshape(shape)
             return x * by + (self.b.reshape(shape) - self.mean.reshape(shape) * by)
-        m, v = x.mean(self.axes), x.var(self.axes)
+        n = x.size // len(self.w)
+        m = np.add.reduce(x, self.axes) / n
+        d = x - m.reshape(shape)
+        v = np.add.reduce(d * d, self.axes) / n
         self.mean, self.var = 0.9 * self.mean + 0.1 * m, 0.9 * self.var + 0.1 * v
         self.k = 1 / np.sqrt(v + 1e-5).reshape(shape)
-        self.z = (x - m.reshape(shape)) * self.k
+        self.z = d * self.k
         return self.z * self.w.reshape(shape) + self.b.reshape(shape)
 
     def backward(self, g):
@@ -102,7 +105,8 @@ class Norm(Layer):
             self.g_w, self.g_b = (g * self.z).sum(self.axes), g.sum(self.axes)
         g = g * self.w.reshape(shape)
         if self.train:
-            g = g - g.mean(self.axes, keepdims=True) - self.z * (g * self.z).mean(self.axes, keepdims=True)
+            n = g.size // len(self.w)
+            g = g - np.add.reduce(g, self.axes, keepdims=True) / n - self.z * (np.add.reduce(g * self.z, self.axes, keepdims=True) / n)
         return g * self.k
 
 
@@ -299,10 +303,16 @@ class Training:
     def __init__(self, net: Layer, cfg: dict):
         self.net, self.cfg, self.step, self.falls = net, cfg, 0, 0
         self.slots = [(layer, p) for layer in net.every() for p in layer.params()]
-        self.m, self.v = [np.zeros_like(getattr(a, p)) for a, p in self.slots], [np.zeros_like(getattr(a, p)) for a, p in self.slots]
+        # All weights are one row of numbers that the layers look into, so that a step is a few operations and not a few for each layer.
+        arrays = [getattr(a, p) for a, p in self.slots]
+        self.ends = np.cumsum([0] + [w.size for w in arrays])
+        self.w = np.concatenate([w.ravel() for w in arrays])
+        for (a, p), w, i, j in zip(self.slots, arrays, self.ends, self.ends[1:]):
+            setattr(a, p, self.w[i:j].reshape(w.shape))
+        self.m, self.v = np.zeros_like(self.w), np.zeros_like(self.w)
 
     def _arrays(self) -> list[np.ndarray]:
-        return [getattr(a, k) for a in self.net.every() for k in ("w", "b", "mean", "var") if isinstance(vars(a).get(k), np.ndarray) and k not in a.passing] + self.m + self.v
+        return [getattr(a, k) for a in self.net.every() for k in ("w", "b", "mean", "var") if isinstance(vars(a).get(k), np.ndarray) and k not in a.passing] + [self.m, self.v]
 
     def vector(self) -> np.ndarray:
         """All that training changes, as one row of numbers."""
@@ -329,14 +339,14 @@ class Training:
             xb = augment(x[rows], rng) if augment else x[rows]
             d = self.net.forward(xb)[:, 0] - y[rows]
             self.net.backward((np.clip(d, -1, 1) / len(rows))[:, None])
-            grads = [getattr(a, f"g_{p}") for a, p in self.slots]
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
+            g = np.concatenate([getattr(a, f"g_{p}").ravel() for a, p in self.slots])
             self.step += 1
             lr = rate * min(1.0, self.step / cfg.get("warmup_steps", 20)) * 0.5**self.falls
-            for j, ((a, p), g) in enumerate(zip(self.slots, grads)):
-                g = g * min(1.0, 1 / (norm + 1e-12))
-                self.m[j], self.v[j] = 0.9 * self.m[j] + 0.1 * g, 0.999 * self.v[j] + 0.001 * g * g
-                setattr(a, p, getattr(a, p) - lr * (self.m[j] / (1 - 0.9**self.step)) / (np.sqrt(self.v[j] / (1 - 0.999**self.step)) + 1e-8))
+            squares = g * g
+            if squares.sum() > 0.99:
+                g = g * min(1.0, 1 / (np.sqrt(sum(float(squares[i:j].sum()) for i, j in zip(self.ends, self.ends[1:]))) + 1e-12))
+            self.m[:], self.v[:] = 0.9 * self.m + 0.1 * g, 0.999 * self.v + 0.001 * g * g
+            self.w -= lr * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.999**self.step)) + 1e-8)
 
     def loss(self, x, y) -> float:
         """The sum of the loss over the rows."""

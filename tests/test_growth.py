@@ -163,3 +163,36 @@ def test_vectors_of_a_block_are_not_objects(spark):
     want = np.where(fold[:, None] == fold[None], np.inf, d).min(1)
     assert {r["id"]: r["d"] for r in near.collect()} == {i: pytest.approx(w) for i, w in enumerate(want)}
     assert spatial.di_reference(t).first()["avg_dist"] == pytest.approx(d[np.triu_indices(70, 1)].mean())
+
+
+def test_rows_that_train_a_network_are_made_once(spark, rows_of_three):
+    for score in (models.score_units, models.fit_units):
+        made = spark.sparkContext.accumulator(0)
+
+        def count(batches, made=made):
+            for t in batches:
+                made.add(t.num_rows)
+                yield t
+
+        df = rows_of_three.mapInArrow(count, rows_of_three.schema)
+        score(df, models.units(spark, [{"hidden": [4], "epochs": 3, "batch": 8}], [0, 1]), "mlp", max_rows=25).collect()
+        assert made.value == 60
+
+
+def test_a_step_is_adam_on_all_weights():
+    rng = np.random.default_rng(2)
+    net, x, y = network.mlp(rng, 3, {"hidden": [4, 2]}), rng.normal(size=(50, 3)), rng.normal(size=50) * 9
+    training = network.Training(net, {"batch": 50, "warmup_steps": 1, "rate": 0.01})
+    before = {(id(a), p): getattr(a, p).copy() for a, p in training.slots}
+    training.epoch(x, y, np.random.default_rng(0))
+    grads = {(id(a), p): getattr(a, f"g_{p}") for a, p in training.slots}
+    clip = min(1.0, 1 / np.sqrt(sum((g * g).sum() for g in grads.values())))
+    for a, p in training.slots:
+        g = grads[id(a), p] * clip
+        assert getattr(a, p) == pytest.approx(before[id(a), p] - 0.01 * g / (np.abs(g) + 1e-8))
+    assert np.concatenate([getattr(a, p).ravel() for a, p in training.slots]) == pytest.approx(training.w, abs=0)
+    at = training.vector()
+    training.epoch(x, y, np.random.default_rng(0))
+    assert not np.allclose(at, training.vector())
+    training.load(at)
+    assert (training.vector() == at).all()
