@@ -7,6 +7,8 @@ import json
 import pickle
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -252,7 +254,7 @@ def _write_shards(ok: DataFrame, k: int) -> DataFrame:
     cut = ok.withColumn("_shard", F.pmod(F.xxhash64("sample_id"), F.lit(k)))
     # Some hundred files at most: merged into fewer, they would leave some cores without any.
     cut.repartition(min(k, FILES), "_shard").groupBy("_shard").applyInArrow(pack, _SHARD).write.parquet(path)
-    return ok.sparkSession.read.parquet(path)
+    return _in_reads(ok.sparkSession, path)
 
 
 def _unpacked(batches):
@@ -385,8 +387,8 @@ def _from_rows(ok: DataFrame, todo: DataFrame, spec: ModelSpec, max_rows: int) -
 
 #: Rows that a network trains on in one task, one after another.
 SHARD = 16_384
-#: Files of shards.
-FILES = 96
+#: Files of shards, and reads of what was kept.
+FILES, READS = 96, 4
 
 
 def _kept(df: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -399,7 +401,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """df, made once and read from the folder all executors share."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return _in_reads(df.sparkSession, path)
+
+
+def _in_reads(spark, path: str) -> DataFrame:
+    """The table of a folder as some reads of a part of its files each: one alone packs them into a task a core and a rest that all wait for."""
+    whole = spark.read.parquet(path)
+    files = sorted(unquote(f) for f in whole.inputFiles())
+    parts = [spark.read.schema(whole.schema).parquet(*files[i::READS]) for i in range(min(READS, len(files)))]
+    return reduce(DataFrame.union, parts) if parts else whole
 
 
 def _fit(ok: DataFrame, todo: DataFrame, spec: ModelSpec, max_rows: int) -> list[dict]:
@@ -519,11 +529,15 @@ def predict_units(df: DataFrame, model: str, fitted) -> DataFrame:
 
 
 def borrowed_units(df: DataFrame, features: list[str], estimator: str, grid: list[dict], folds: list[int], seed: int = 42) -> DataFrame:
-    """Out-of-fold predictions of any regressor of pyspark.ml by class name; each fit is itself distributed."""
+    """Out-of-fold predictions of any regressor of pyspark.ml by class name; each fit is itself distributed.
+
+    A fit reads its rows several times, so the rows are kept where all executors see them, and made once, when this is called.
+    """
     from pyspark.ml import regression
     from pyspark.ml.feature import VectorAssembler
 
-    x = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip").transform(df)
+    rows = kept(df.select("sample_id", "y", "fold", *features), "borrowed")
+    x = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip").transform(rows)
     out = None
     for i, cfg in enumerate(grid):
         for fold in folds:

@@ -196,3 +196,27 @@ def test_a_step_is_adam_on_all_weights():
     assert not np.allclose(at, training.vector())
     training.load(at)
     assert (training.vector() == at).all()
+
+
+def test_rows_that_train_a_borrowed_regressor_are_made_once(spark, rows_of_three):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for t in batches:
+            made.add(t.num_rows)
+            yield t
+
+    rows = [(r["sample_id"], *r["x"], r["y"], r["fold"]) for r in rows_of_three.collect()]
+    df = spark.createDataFrame(rows, "sample_id long, a double, b double, c double, y double, fold int").repartition(6)
+    got = models.borrowed_units(df.mapInArrow(count, df.schema), ["a", "b", "c"], "DecisionTreeRegressor", [{"maxDepth": 2}, {"maxDepth": 3}], [0, 1]).collect()
+    assert sorted((r["config_id"], r["sample_id"], r["obs"]) for r in got) == sorted((c, r[0], r[4]) for c in ("cfg_001", "cfg_002") for r in rows if r[5] in (0, 1))
+    assert made.value == 60
+
+
+def test_kept_rows_are_read_in_several_parts_and_whole(spark):
+    df = spark.range(1000).selectExpr("id", "array(id * 0.5) as x")
+    for n in (1, 3, 7):
+        got = models.kept(df.repartition(n), "a name")
+        assert sorted(r["id"] for r in got.collect()) == list(range(1000)) and got.columns == df.columns
+        assert plan_of(got).count("FileScan") == min(n, models.READS)
+    assert models.kept(df.where("id < 0"), "none").count() == 0
