@@ -7,8 +7,6 @@ import json
 import pickle
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
-from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -19,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions import shared_path
+from ..functions import READS, in_reads, kept, shared_path  # noqa: F401
 from . import network
 
 
@@ -254,7 +252,7 @@ def _write_shards(ok: DataFrame, k: int) -> DataFrame:
     cut = ok.withColumn("_shard", F.pmod(F.xxhash64("sample_id"), F.lit(k)))
     # Some hundred files at most: merged into fewer, they would leave some cores without any.
     cut.repartition(min(k, FILES), "_shard").groupBy("_shard").applyInArrow(pack, _SHARD).write.parquet(path)
-    return _in_reads(ok.sparkSession, path)
+    return in_reads(ok.sparkSession, path)
 
 
 def _unpacked(batches):
@@ -387,8 +385,8 @@ def _from_rows(ok: DataFrame, todo: DataFrame, spec: ModelSpec, max_rows: int) -
 
 #: Rows that a network trains on in one task, one after another.
 SHARD = 16_384
-#: Files of shards, and reads of what was kept.
-FILES, READS = 96, 4
+#: Files of shards.
+FILES = 96
 
 
 def _kept(df: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -397,21 +395,6 @@ def _kept(df: DataFrame, spec: ModelSpec) -> DataFrame:
     return kept(ok, "rows") if spec.build else ok
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, made once and read from the folder all executors share."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return _in_reads(df.sparkSession, path)
-
-
-def _in_reads(spark, path: str) -> DataFrame:
-    """The table of a folder as some reads of a part of its files each: one alone packs them into a task a core and a rest that all wait for."""
-    whole = spark.read.parquet(path)
-    files = sorted(unquote(f) for f in whole.inputFiles())
-    parts = [spark.read.schema(whole.schema).parquet(*files[i::READS]) for i in range(min(READS, len(files)))]
-    return reduce(DataFrame.union, parts) if parts else whole
-
-
 def _fit(ok: DataFrame, todo: DataFrame, spec: ModelSpec, max_rows: int) -> list[dict]:
     return _from_sums(ok, todo, spec) if spec.fit_sums else _from_rows(ok, todo, spec, max_rows)
 

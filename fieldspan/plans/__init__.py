@@ -68,6 +68,19 @@ def kfold_plan(df: DataFrame, group: str, k: int, test_frac: float = 0.0, seed:
     return out.union(held.select("fold", "sample_id", F.lit("test")))
 
 
+#: Tasks that rows of a plan meet their points in, at least.
+MEET = 64
+
+
+def placed(plan: DataFrame, points: DataFrame, *cols: str) -> DataFrame:
+    """The plan with columns of its points, by sample_id.
+
+    They meet in a stated number of tasks: merged by their compressed bytes, of which ids have few, a task sorts many times as many rows.
+    """
+    n = max(MEET, int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # of fewer than a join would have, Spark makes its own
+    return plan.repartition(n, "sample_id").join(points.select("sample_id", *cols).repartition(n, "sample_id"), "sample_id")
+
+
 def near(a: DataFrame, b: DataFrame, distance: float, keys: list[str] = (), metric: str = "chebyshev", how: str = "left_semi") -> DataFrame:
     """Rows of a with (or, left_anti, without) a row of b within `distance`, inclusive; an equi-join of buckets of that side."""
     side = max(distance, 1e-9)
@@ -86,7 +99,7 @@ def near(a: DataFrame, b: DataFrame, distance: float, keys: list[str] = (), metr
 
 def apply_buffer(plan: DataFrame, points: DataFrame, distance: float, metric: str = "chebyshev") -> DataFrame:
     """The plan without training rows near validation or test rows of their fold, and validation rows near test rows."""
-    x = plan.join(points.select("sample_id", "x", "y"), "sample_id")
+    x = placed(plan, points, "x", "y")
     train, val, rest = x.where("role = 'train'"), x.where("role = 'validation'"), x.where("role not in ('train', 'validation')")
     train = near(train, x.where("role <> 'train'"), distance, ["fold"], metric, "left_anti")
     val = near(val, rest, distance, ["fold"], metric, "left_anti")
@@ -101,7 +114,7 @@ def spatial_folds(points: DataFrame, k: int = 5, size: float = 10.0, distance: f
 
 def leakage(plan: DataFrame, cells: DataFrame, window: int) -> DataFrame:
     """By fold: validation rows, and those that share a patch pixel with a training row. cells: sample_id, x, y as integers."""
-    x = plan.join(cells.select("sample_id", "x", "y"), "sample_id")
+    x = placed(plan, cells, "x", "y")
     val = x.where("role = 'validation'")
     hit = near(val, x.where("role = 'train'"), max(1, window - 1), ["fold"])
     n, h = val.groupBy("fold").agg(F.count("*").alias("n")), hit.groupBy("fold").agg(F.count("*").alias("n_shared"))
@@ -111,7 +124,7 @@ def leakage(plan: DataFrame, cells: DataFrame, window: int) -> DataFrame:
 def check_plan(plan: DataFrame, groups: DataFrame) -> DataFrame:
     """By fold: rows of each role, rows with two roles, groups with rows in two roles."""
     twice = plan.groupBy("fold", "sample_id").agg(F.count_distinct("role").alias("r")).groupBy("fold").agg(F.count_if(F.col("r") > 1).alias("n_overlap"))
-    split = plan.join(groups, "sample_id").groupBy("fold", "group").agg(F.count_distinct("role").alias("r")).groupBy("fold").agg(F.count_if(F.col("r") > 1).alias("n_split_groups"))
+    split = placed(plan, groups, "group").groupBy("fold", "group").agg(F.count_distinct("role").alias("r")).groupBy("fold").agg(F.count_if(F.col("r") > 1).alias("n_split_groups"))
     size = plan.groupBy("fold").agg(*[F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("train", "validation", "test")])
     return size.join(twice, "fold").join(split, "fold")
 

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import apply_buffer, blocks, check_plan, deal, draw_groups, matched_folds, near, suggest_block_size
+from ..functions import kept
+from . import apply_buffer, blocks, check_plan, deal, draw_groups, matched_folds, near, placed, suggest_block_size
 
 #: Sides that the automatic block size is chosen from.
 SIDES = (0.1, 0.25, 0.5, 1.0, 2.0, 3.0, 5.0)
@@ -229,19 +230,20 @@ def without_test(plan: DataFrame, evaluate_test: bool = False) -> DataFrame:
 
 def buffer_report(plan: DataFrame, points: DataFrame, distance: float, metric: str = "chebyshev") -> DataFrame:
     """By fold, what a buffer takes: training rows by what they are near to, and validation rows."""
-    x = plan.join(points.select("sample_id", "x", "y"), "sample_id")
+    # Rows of one place and role are near to the same, so places are compared; they are made once.
+    x = kept(placed(plan, points, "x", "y").groupBy("fold", "role", "x", "y").agg(F.count("*").alias("n")), "places")
     train, val = x.where("role = 'train'"), x.where("role = 'validation'")
     parts = []
     for name, rows, others in (
         ("n_near_validation", train, ["validation"]), ("n_near_test", train, ["test"]), ("n_near_calibration", train, ["calibration"]),
         ("n_dropped", train, ["validation", "test", "calibration"]), ("n_validation_dropped", val, ["test", "calibration"]),
     ):
-        parts.append(near(rows, x.where(F.col("role").isin(others)), distance, ["fold"], metric).select("fold", F.lit(name).alias("part")))
+        parts.append(near(rows, x.where(F.col("role").isin(others)), distance, ["fold"], metric).select("fold", "n", F.lit(name).alias("part")))
     for name, rows in (("n_train_before", train), ("n_validation_before", val)):
-        parts.append(rows.select("fold", F.lit(name).alias("part")))
+        parts.append(rows.select("fold", "n", F.lit(name).alias("part")))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
     names = ["n_train_before", "n_dropped", "n_near_validation", "n_near_test", "n_near_calibration", "n_validation_before", "n_validation_dropped"]
-    out = whole.groupBy("fold").agg(*[F.count_if(F.col("part") == n).alias(n) for n in names])
+    out = whole.groupBy("fold").agg(*[F.coalesce(F.sum(F.when(F.col("part") == n, F.col("n"))), F.lit(0).cast("long")).alias(n) for n in names])
     return out.withColumn("pct_dropped", F.round(100 * F.col("n_dropped") / F.nullif("n_train_before", F.lit(0)), 2))

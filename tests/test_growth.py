@@ -10,6 +10,7 @@ import pytest
 from fieldspan import models, queries
 from fieldspan.models import explain, network
 from fieldspan.operators import intervals, metrics, raster, spatial
+from fieldspan.plans import resampling
 
 
 @pytest.fixture(scope="module")
@@ -220,3 +221,27 @@ def test_kept_rows_are_read_in_several_parts_and_whole(spark):
         assert sorted(r["id"] for r in got.collect()) == list(range(1000)) and got.columns == df.columns
         assert plan_of(got).count("FileScan") == min(n, models.READS)
     assert models.kept(df.where("id < 0"), "none").count() == 0
+
+
+def test_plans_meet_points_in_tasks_that_are_not_merged(spark, sf_dir):
+    for name in ("apply_buffer", "leakage_report", "check_fold_plan"):
+        assert plan_of(queries.QUERIES[name](spark, sf_dir)).count("REPARTITION_BY_NUM") >= 2
+
+
+def test_places_of_a_buffer_count_their_rows(spark):
+    rng = np.random.default_rng(8)
+    points = [(i, float(rng.integers(0, 9)), float(rng.integers(0, 9)) if i % 50 else None) for i in range(200)]
+    roles = [(f, i, ("train", "train", "validation", "test", "calibration")[int(rng.choice(5, p=[0.5, 0.3, 0.1, 0.05, 0.05]))]) for f in (1, 2) for i in range(200)] + [(3, 7, "test"), (4, 8, "train")]
+    at = {p[0]: p[1:] for p in points}
+
+    def close(f, i, *others):
+        return None not in at[i] and any(g == f and r in others and None not in at[j] and max(abs(a - b) for a, b in zip(at[i], at[j])) <= 1 for g, j, r in roles)
+
+    want = {}
+    for f in (1, 2, 4):
+        train, val = [[i for g, i, r in roles if g == f and r == role] for role in ("train", "validation")]
+        near = [sum(close(f, i, *o) for i in train) for o in (("validation", "test", "calibration"), ("validation",), ("test",), ("calibration",))]
+        want[f] = (len(train), *near, len(val), sum(close(f, i, "test", "calibration") for i in val), pytest.approx(100 * near[0] / len(train), abs=0.006))
+    got = resampling.buffer_report(spark.createDataFrame(roles, "fold int, sample_id long, role string"), spark.createDataFrame(points, "sample_id long, x double, y double"), 1.0)
+    assert "SortMergeJoin [sample_id" not in plan_of(got)
+    assert {r["fold"]: tuple(r)[1:] for r in got.collect()} == want
